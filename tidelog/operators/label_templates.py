@@ -12,28 +12,50 @@ DIMENSIONS = ["label", "event_type", "service", "platform"]
 _ALL_LABELS = V.LABELS + [V.UNKNOWN]
 
 
+def _has_text(template: Column) -> Column:
+    return F.coalesce(template, F.lit("")).rlike(r"(?U)\S")
+
+
+def _with_label(rows: DataFrame, second: bool, label_on: str) -> DataFrame:
+    first = F.col("template")
+    text = first if label_on == "raw" else F.col("_second")
+    return (
+        rows.withColumn("_second", second_pass(first) if second else first)
+        .withColumn("label", weak_label(text, F.col("event_type"), F.col("service")))
+        .withColumn("template", F.col("_second"))
+        .drop("_second")
+    )
+
+
 def label_events(events: DataFrame, second: bool = True, label_on: str = "template") -> DataFrame:
-    """Add ``label``; ``template`` gets the second pass. Rows left without a template drop out.
+    """Add ``label`` to every event; ``template`` gets the second pass. Blank templates drop out.
 
     ``label_on="raw"`` labels the text before the second pass hides login and logout.
     """
-    first = F.col("template")
-    template = second_pass(first) if second else first
-    out = events.withColumn("_raw", first).withColumn("template", template)
-    out = out.filter(F.coalesce("template", F.lit("")) != "")
-    text = F.col("_raw") if label_on == "raw" else F.col("template")
-    label = weak_label(text, F.col("event_type"), F.col("service"))
-    return out.withColumn("label", label).drop("_raw")
+    return _with_label(events.filter(_has_text(F.col("template"))), second, label_on)
 
 
-def template_counts(labeled: DataFrame) -> DataFrame:
-    """One row per distinct (template, label, event type, service, platform).
+def template_counts(events: DataFrame, second: bool = True, label_on: str = "template") -> DataFrame:
+    """One row per distinct (template, label, event type, service, platform) with its count.
 
-    The only step that shuffles event-sized data, and it counts before the shuffle: a template that
-    holds a third of all rows arrives as a few rows per task.
+    Events are first counted by their collected template. That is the only shuffle of event-sized
+    data, and it counts before the shuffle: a template that holds a third of all rows arrives as one
+    row per task. The second pass and the label rules then run once per distinct template, and a
+    small second count folds what the second pass made equal. Blank templates count zero, so the
+    check for them stays above the aggregate and the rewrite chain is not run twice for it.
     """
-    filled = [F.coalesce(c, F.lit("")).alias(c) for c in DIMENSIONS]
-    return labeled.select("template", *filled).groupBy("template", *DIMENSIONS).agg(F.count("*").alias("n"))
+    tags = ["event_type", "service", "platform"]
+    counted = (
+        events.select("template", *[F.coalesce(c, F.lit("")).alias(c) for c in tags])
+        .groupBy("template", *tags)
+        .agg(F.count(F.when(_has_text(F.col("template")), 1)).alias("n"))
+        .filter("n > 0")
+    )
+    return (
+        _with_label(counted, second, label_on)
+        .groupBy("template", *DIMENSIONS)
+        .agg(F.sum("n").alias("n"))
+    )
 
 
 def _most_common(dimension: str) -> Column:
@@ -105,5 +127,6 @@ def first_per_label(rows: DataFrame, order: list[Column], n: int = 3, label: str
     return rows.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def template_dictionary(labeled: DataFrame) -> DataFrame:
-    return labeled.groupBy("template").agg(F.count("*").alias("support"))
+def template_dictionary(counts: DataFrame) -> DataFrame:
+    """Distinct templates with their support, from ``template_counts``."""
+    return counts.groupBy("template").agg(F.sum("n").alias("support"))

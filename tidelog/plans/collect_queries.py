@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from tidelog import fixed_values as V
 from tidelog.functions import rewrites
-from tidelog.functions.labeling import review_reason, weak_label
+from tidelog.functions.labeling import review_reason
 from tidelog.functions.tagging import event_type_of, service_of
 from tidelog.functions.text import cut, first_filled
 from tidelog.operators import collect, selection
+from tidelog.operators.label_templates import label_events
 from tidelog.plans import oracle_text as Q
 from tidelog.plans import views
 from tidelog.plans.registry import register
@@ -336,14 +337,16 @@ def _reasons(spark, sf_dir):
     )
 
 
-def tagged(spark, sf_dir):
-    """Varied log rows with template (both passes), service, event type and rule label."""
-    from tidelog.operators.label_templates import label_events
-
-    logs = views.varied_logs(spark, sf_dir).select(
+def tagged_events(spark, sf_dir):
+    """Varied log rows with collected template, service and event type."""
+    return views.varied_logs(spark, sf_dir).select(
         "id", "ts", "platform",
         rewrites.template_of(_M(), views.HOST_PATTERN).alias("template"),
         service_of(_M()).alias("service"),
         event_type_of(_M()).alias("event_type"),
     )
-    return label_events(logs)
+
+
+def tagged(spark, sf_dir):
+    """tagged_events with the second pass and the rule label."""
+    return label_events(tagged_events(spark, sf_dir))

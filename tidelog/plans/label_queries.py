@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import label_templates as L
 from tidelog.plans import oracle_text as Q
-from tidelog.plans.collect_queries import tagged
+from tidelog.plans.collect_queries import tagged_events
 from tidelog.plans.registry import register
 
 _CLASSES = ["error", "important", "noise", "security_noise"]
@@ -44,7 +44,11 @@ TEMPLATES = f"""{Q.TAGGED}, lc as (
 
 
 def templates(spark, sf_dir):
-    return L.label_templates(L.template_counts(tagged(spark, sf_dir)))
+    return L.label_templates(counts(spark, sf_dir))
+
+
+def counts(spark, sf_dir):
+    return L.template_counts(tagged_events(spark, sf_dir))
 
 
 @register("label_templates", f"with {TEMPLATES} select * from templates")
@@ -58,10 +62,7 @@ def _templates(spark, sf_dir):
      from tagged group by all""",
 )
 def _counts(spark, sf_dir):
-    return L.template_counts(tagged(spark, sf_dir))
-
-
-_GROUPED = "service"
+    return counts(spark, sf_dir)
 
 
 @register(
@@ -75,8 +76,8 @@ _GROUPED = "service"
 )
 def _conflicts(spark, sf_dir):
     """Conflict resolution where labels do disagree: service names stand in for templates."""
-    rows = tagged(spark, sf_dir).withColumn("template", F.col("service"))
-    return L.label_templates(L.template_counts(rows)).select("template", "label", "count", "label_confidence")
+    by_service = counts(spark, sf_dir).withColumn("template", F.col("service"))
+    return L.label_templates(by_service).select("template", "label", "count", "label_confidence")
 
 
 @register(
@@ -132,4 +133,4 @@ def _first(spark, sf_dir):
     f"with {Q.TAGGED} select template, count(*) as support from tagged group by template",
 )
 def _dictionary(spark, sf_dir):
-    return L.template_dictionary(tagged(spark, sf_dir))
+    return L.template_dictionary(counts(spark, sf_dir))
