@@ -37,6 +37,19 @@ def window_stats(events: DataFrame, keys: list[str] = []) -> DataFrame:
     return long.groupBy(*keys, "dimension", "key").agg(F.sum("n").alias("n"))
 
 
+def rolling_stats(events: DataFrame, width_minutes: int, slide_minutes: int, ts: str = "ts") -> DataFrame:
+    """window_stats of every sliding window; ``w`` is the window start.
+
+    Rows are counted once per slide; only the counts are copied into the windows that cover them.
+    """
+    slide = F.window(ts, f"{slide_minutes} minutes")["start"]
+    per_slide = window_stats(events.withColumn("_slide", slide), ["_slide"])
+    steps = F.explode(F.sequence(F.lit(0), F.lit(width_minutes // slide_minutes - 1))).alias("_back")
+    copied = per_slide.select("_slide", "dimension", "key", "n", steps)
+    start = F.col("_slide") - F.make_dt_interval(mins=F.col("_back") * slide_minutes)
+    return copied.groupBy(start.alias("w"), "dimension", "key").agg(F.sum("n").alias("n"))
+
+
 def top_services(events: DataFrame, keys: list[str] = [], n: int = 5) -> DataFrame:
     counts = (
         _pre_counted(events, keys)

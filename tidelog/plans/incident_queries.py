@@ -190,8 +190,8 @@ _DAY = "select *, strftime(ts, '%Y-%m-%d') as period from"
      pla as (select period, string_agg('- ' || platform || ': ' || n, chr(10) order by n desc, platform) as platforms
        from (select period, platform, count(*) as n from p group by all) group by period),
      err as (select period, string_agg('- ' || substring(template, 1, 100), chr(10) order by seen) as errors from (
-       select period, template, min((run_ts, ts, id)) as seen from i group by all
-       qualify row_number() over (partition by period order by min((run_ts, ts, id)), template) <= 5) group by period),
+       select *, row_number() over (partition by period order by seen, template) as rk from (
+        select period, template, min((run_ts, ts, id)) as seen from i group by all)) where rk <= 5 group by period),
      tot as (select period, count(*) as total_events from p group by period)
      select period, total_events, concat_ws(chr(10), '## Daily Infrastructure Summary — ' || period,
        chr(10) || '### Overall Health', 'Total events processed: ' || total_events,
@@ -236,20 +236,12 @@ def _windows12(spark, sf_dir):
 
 @register(
     "sliding_summary_windows",
-    f"""{_INC}, slots as (select id, ts, predicted_label, platform,
-       time_bucket(interval '1 hour', ts) - to_hours(unnest(range(0, 12))::bigint) as w0 from predictions)
+    f"""{_INC}, slots as (select id, predicted_label, platform,
+       time_bucket(interval '15 minutes', ts) - to_minutes(15 * unnest(range(0, 48))::bigint) as w0 from predictions)
      select strftime(w0, '%Y-%m-%d %H:%M:%S') as w, dimension, key, count(*) as n from (
       select w0, unnest(['total', 'label', 'platform']) as dimension,
        unnest(['', predicted_label, platform]) as key from slots) group by all""",
 )
 def _sliding(spark, sf_dir):
-    """The rolling 12-hour look-back, one window per hour.
-
-    Rows are first counted by hour; only the counts are copied into the twelve windows they fall in.
-    """
-    hourly = R.window_stats(windowed(views.predictions(spark, sf_dir), "1 hour"), ["w"])
-    hour = F.to_timestamp_ntz("w", F.lit("yyyy-MM-dd HH:mm:ss"))
-    back = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("back")
-    slots = hourly.select(hour.alias("hour"), "dimension", "key", "n", back)
-    start = F.date_format(F.col("hour") - F.make_dt_interval(hours=F.col("back")), "yyyy-MM-dd HH:mm:ss")
-    return slots.groupBy(start.alias("w"), "dimension", "key").agg(F.sum("n").alias("n"))
+    rolled = R.rolling_stats(views.predictions(spark, sf_dir), width_minutes=12 * 60, slide_minutes=15)
+    return rolled.select(F.date_format("w", "yyyy-MM-dd HH:mm:ss").alias("w"), "dimension", "key", "n")
