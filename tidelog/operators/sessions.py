@@ -18,7 +18,9 @@ def positions(
     Rows are ranked inside (group, time slice), which is what the big shuffle partitions by; the start
     of each slice comes from the counts per slice.
     """
-    sliced = events.withColumn("_slice", F.window(ts, f"{slice_seconds} seconds")["start"])
+    # window() drops rows without a time, so those get an early one: nulls sort first anyway.
+    timed = F.coalesce(F.col(ts), F.lit("0001-01-01 00:00:00").cast(events.schema[ts].dataType))
+    sliced = events.withColumn("_slice", F.window(timed, f"{slice_seconds} seconds")["start"])
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
