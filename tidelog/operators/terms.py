@@ -24,18 +24,14 @@ def bigrams(words: Column) -> Column:
     return F.zip_with(first, second, lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def terms(text: Column) -> Column:
-    """Unigrams and bigrams of a text. The bigrams are built from a named token column."""
-    words = tokens(text)
-    return F.concat(words, bigrams(words))
-
-
 def doc_terms(documents: DataFrame, sublinear: bool = False) -> DataFrame:
-    """(doc_id, term, tf): counts, or 1 + ln(count)."""
-    exploded = (
-        documents.select("doc_id", tokens(F.col("text")).alias("_words"))
-        .select("doc_id", F.explode(F.concat("_words", bigrams(F.col("_words")))).alias("term"))
-    )
+    """(doc_id, term, tf): counts, or 1 + ln(count).
+
+    Texts are spread by document before they are exploded. Counting by (document, term), and later
+    scaling by document, then need no further shuffle of the much larger term rows.
+    """
+    words = documents.select("doc_id", "text").repartition("doc_id").select("doc_id", tokens(F.col("text")).alias("_words"))
+    exploded = words.select("doc_id", F.explode(F.concat("_words", bigrams(F.col("_words")))).alias("term"))
     counted = exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     return counted.withColumn("tf", 1 + F.log("tf")) if sublinear else counted
 
