@@ -9,12 +9,15 @@ from tidelog.functions.text import cut, round_even
 _MAP = "map<string,string>"
 
 
+def _object(text: Column) -> Column:
+    """Null unless all of ``text`` is one JSON object; from_json alone would skip what follows it."""
+    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, _MAP))
+
+
 def reply_object(raw: Column, greedy: bool = False) -> Column:
     """The reply as a map: the whole text as JSON, else its first {...} part, else null."""
     pattern = r"(?s)\{.*\}" if greedy else r"(?s)\{.*?\}"
-    part = F.regexp_extract(raw, pattern, 0)
-    whole = F.when(raw.rlike(r"(?s)^\s*\{.*\}\s*$"), F.from_json(raw, _MAP))
-    return F.coalesce(whole, F.from_json(F.nullif(part, F.lit("")), _MAP))
+    return F.coalesce(_object(raw), _object(F.regexp_extract(raw, pattern, 0)))
 
 
 def reply_label(reply: Column) -> Column:
