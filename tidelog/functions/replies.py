@@ -10,8 +10,12 @@ _MAP = "map<string,string>"
 
 
 def _object(text: Column) -> Column:
-    """Null unless all of ``text`` is one JSON object; from_json alone would skip what follows it."""
-    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, _MAP))
+    """Null unless all of ``text`` is one JSON object.
+
+    Read as an array of one, since from_json would skip what follows a complete object.
+    """
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{_MAP}>", {"allowSingleQuotes": "false"})
+    return F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
 
 
 def reply_object(raw: Column, greedy: bool = False) -> Column:

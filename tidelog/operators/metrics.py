@@ -104,10 +104,12 @@ def exact_percentile(df: DataFrame, value: str, q: float, accuracy: int = 100_00
         F.min("v").alias("lo"),
         F.max("v").alias("hi"),
     )
+    # Few rows: the sketch's rank is too coarse a bound, and all values are as cheap.
+    few = F.col("n") <= accuracy
     bracket = sketch.select(
         "n",
-        F.when(F.lit(q - margin <= 0), F.col("lo")).otherwise(F.col("b")[0]).alias("lo"),
-        F.when(F.lit(q + margin >= 1), F.col("hi")).otherwise(F.col("b")[1]).alias("hi"),
+        F.when(few | F.lit(q <= margin), F.col("lo")).otherwise(F.col("b")[0]).alias("lo"),
+        F.when(few | F.lit(q + margin >= 1), F.col("hi")).otherwise(F.col("b")[1]).alias("hi"),
     )
     below_lo = F.col("v") < F.col("lo")
     near = (

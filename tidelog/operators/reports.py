@@ -93,8 +93,8 @@ def _list_text(rows: DataFrame, keys: list[str], line: Column, order: list[Colum
     return rows.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda x: x["_line"]), "\n").alias(name))
 
 
-def markdown_report(events: DataFrame, period: str) -> DataFrame:
-    """One Markdown text per value of the column ``period``."""
+def report_parts(events: DataFrame, period: str) -> DataFrame:
+    """(period, total_events, labels, platforms, errors): the counters and errors as bullet text."""
     keys = [period]
     stats = window_stats(events, keys)
     counted = F.concat(F.lit("- "), F.col("key"), F.lit(": "), F.col("n").cast("string"))
@@ -104,6 +104,11 @@ def markdown_report(events: DataFrame, period: str) -> DataFrame:
     platforms = _list_text(stats.filter("dimension = 'platform'"), keys, counted, order, "platforms")
     error_line = F.concat(F.lit("- "), cut(F.col("template"), 100))
     errors = _list_text(top_errors(events, keys), keys, error_line, [F.col("first_seen")], "errors")
+    return totals.join(labels, period).join(platforms, period).join(errors, period, "left")
+
+
+def markdown_report(events: DataFrame, period: str) -> DataFrame:
+    """One Markdown text per value of the column ``period``."""
     period_text = F.col(period).cast("string")
     content = F.concat_ws(
         "\n",
@@ -117,8 +122,7 @@ def markdown_report(events: DataFrame, period: str) -> DataFrame:
         F.lit("\n### Platforms"),
         F.col("platforms"),
     )
-    joined = totals.join(labels, period).join(platforms, period).join(errors, period, "left")
-    return joined.select(period, "total_events", content.alias("content"))
+    return report_parts(events, period).select(period, "total_events", content.alias("content"))
 
 
 def latest_report(reports: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from tidelog.functions import replies as RE
 from tidelog.operators import documents as D
 from tidelog.operators import incidents as I
 from tidelog.operators import inference as N
+from tidelog.operators import reports as RP
 from tidelog.operators import retrieval as R
 from tidelog.operators import selection
 from tidelog.plans import oracle_text as Q
@@ -129,6 +130,12 @@ def _context(spark, sf_dir):
     return R.top_context(full_hits(spark, sf_dir))
 
 
+_EXPLAIN = (
+    "Explain this log anomaly in three to five sentences: likely cause, and how to check or fix it.\nAnomaly: ",
+    "\nDocumentation: ",
+)
+
+
 @register(
     "explanation_records",
     f"""{_HITS}, anomalies as (select distinct label as query_id, 'anomaly ' || label as anomaly from emb
@@ -136,7 +143,9 @@ def _context(spark, sf_dir):
      select a.query_id, any_value(anomaly) as anomaly,
       case when count(rank) = 0 then 'No relevant documentation found.' end as explanation,
       coalesce(string_agg(source, ',' order by rank), '') as sources,
-      coalesce(string_agg(platform || ':' || score, ',' order by rank), '') as chunks
+      coalesce(string_agg(platform || ':' || score, ',' order by rank), '') as chunks,
+      {Q.quoted(_EXPLAIN[0])} || any_value(anomaly) || {Q.quoted(_EXPLAIN[1])}
+       || substring(any_value(text) filter (where rank = 1), 1, 300) as prompt
      from anomalies a left join full_hits using (query_id) group by a.query_id""",
 )
 def _explanations(spark, sf_dir):
@@ -148,7 +157,7 @@ def _explanations(spark, sf_dir):
     rows = R.explanations(anomalies, full_hits(spark, sf_dir))
     shown = F.transform("chunks", lambda c: F.concat(c["platform"], F.lit(":"), c["score"]))
     return rows.select(
-        "query_id", "anomaly", "explanation",
+        "query_id", "anomaly", "explanation", "prompt",
         F.array_join("sources", ",").alias("sources"), F.array_join(shown, ",").alias("chunks"),
     )
 
@@ -267,6 +276,24 @@ def _severity_prompts(spark, sf_dir):
     return lines.select("w", PR.severity_prompt(F.col("lines")).alias("prompt"))
 
 
+@register(
+    "report_prompts",
+    f"""with {Q.PREDICTIONS}, d as (select strftime(ts, '%Y-%m-%d') as period, * from predictions),
+     lab as (select period, string_agg('- ' || predicted_label || ': ' || n, chr(10) order by n desc, predicted_label) as labels,
+       cast(sum(n) as bigint) as total from (select period, predicted_label, count(*) as n from d group by all) group by period),
+     pla as (select period, string_agg('- ' || platform || ': ' || n, chr(10) order by n desc, platform) as platforms
+       from (select period, platform, count(*) as n from d group by all) group by period)
+     select period, 'Write a short operations report in Markdown with an overall sentence, critical events, patterns '
+      || 'and recommendations.' || chr(10) || 'Period: ' || period || chr(10) || 'Events: ' || total || chr(10) || 'By label: '
+      || labels || chr(10) || 'By platform: ' || platforms || chr(10) || 'Errors: none' as prompt from lab join pla using (period)""",
+)
+def _report_prompts(spark, sf_dir):
+    days = views.predictions(spark, sf_dir).withColumn("period", F.date_format("ts", "yyyy-MM-dd"))
+    rows = RP.report_parts(days, "period")
+    text = PR.report_prompt(F.col("period"), F.col("total_events"), F.col("labels"), F.col("platforms"), F.lit("none"))
+    return rows.select("period", text.alias("prompt"))
+
+
 # Replies in every shape a model gives them, one per event.
 _REPLY = """case event_id % 9
   when 0 then concat('{"label": "error", "confidence": 0.', event_id % 10, ', "explanation": "e', event_id, '", "severity": ', event_id % 11, '}')

@@ -32,11 +32,10 @@ def event_stream(envelopes: DataFrame, host_pattern: str) -> DataFrame:
 
 
 def dedupe_stream(events: DataFrame, ts: str = "timestamp", delay: str = PULL_RANGE) -> DataFrame:
-    """First row per id; state is kept for as long as copies can arrive. Rows without an id are dropped
-    by the state operator after the first, so they are split off before and kept."""
-    marked = events.withWatermark(ts, delay)
+    """First row per id; state is kept for as long as copies can arrive. Rows without an id get a key
+    of their own, so none is lost."""
     key = F.coalesce("id", F.uuid()).alias("_key")
-    return marked.select("*", key).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    return events.withWatermark(ts, delay).select("*", key).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 def _replace_batch(rows: DataFrame, path: str, batch_id: int) -> None:
@@ -63,11 +62,12 @@ def start_scoring(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         unique = first_by_id(batch, ["id"], [F.asc("timestamp"), F.asc("platform")])
-        earlier = _earlier_ids(spark, predictions, batch_id, batch)
-        if earlier is not None:
-            unique = unique.join(earlier, "id", "left_anti")
-        _replace_batch(score(unique), predictions, batch_id)
-        written = spark.read.parquet(predictions).filter(F.col("batch_id") == batch_id)
+        if batch_id > 0:
+            unique = unique.join(_earlier_ids(batch, predictions, batch_id), "id", "left_anti")
+        scored = score(unique)
+        _replace_batch(scored, predictions, batch_id)
+        schema = StructType(scored.schema.fields).add("batch_id", "integer")
+        written = spark.read.schema(schema).parquet(predictions).filter(F.col("batch_id") == batch_id)
         found = incidents(written).withColumnRenamed("timestamp", "ts")
         _replace_batch(alerts(found, ["batch_id"]).drop("batch_id"), alert_path, batch_id)
 
@@ -76,13 +76,13 @@ def start_scoring(
     )
 
 
-def _earlier_ids(spark: SparkSession, path: str, batch_id: int, batch: DataFrame) -> DataFrame | None:
-    """Ids written by earlier batches and young enough to be delivered again."""
-    if batch_id == 0:
-        return None
+def _earlier_ids(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Ids that earlier batches wrote and that are young enough to be delivered again."""
+    schema = StructType(batch.select("id", "timestamp").schema.fields).add("batch_id", "integer")
     oldest = batch.agg(F.min("timestamp")).scalar()
     return (
-        spark.read.parquet(path)
+        batch.sparkSession.read.schema(schema)
+        .parquet(path)
         .filter((F.col("batch_id") < batch_id) & (F.col("timestamp") >= oldest))
         .select("id")
         .distinct()
