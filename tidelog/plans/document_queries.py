@@ -49,7 +49,7 @@ _CHUNKS = f"""chunks as (select doc_id, cast(row_number() over (partition by doc
 
 
 def chunks(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("platform"), "text")
+    docs = views.documents(spark, sf_dir).withColumnRenamed("lang", "platform")
     return D.chunk(D.long_documents(docs))
 
 

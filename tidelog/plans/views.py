@@ -8,6 +8,8 @@ matching text.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.session import spread
+
 HOST_PATTERN = r"\bnode-\d+-\d+(\.infra\.example\.com)?\b"
 
 _SOURCE = "concat('node-', user_id % 20, '-', user_id % 3, '.infra.example.com')"
@@ -81,13 +83,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, ts, platform, source, message, user_id, event_type_raw, value: one row per event."""
-    return table(spark, sf_dir, "events").selectExpr(*_text(LOG_COLUMNS, "string"))
+    return spread(_events(spark, sf_dir)).selectExpr(*_text(LOG_COLUMNS, "string"))
 
 
 def varied_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(*_text(VARIED_COLUMNS, "string"))
+    return spread(_events(spark, sf_dir)).selectExpr(*_text(VARIED_COLUMNS, "string"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
