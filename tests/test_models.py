@@ -87,3 +87,20 @@ def test_cross_validation(data):
     keyed = data.withColumn("key", F.concat("template", F.lit("#"), F.monotonically_increasing_id()))
     row = models.cross_validate(keyed, "key", names=["naive_bayes"], k=3).first()
     assert row["mean"] >= 0.95 and len(row["folds"]) == 3 and row["ci_low"] <= row["mean"] <= row["ci_high"]
+
+
+def test_best_report(data, trained):
+    table = models.evaluate_models(data, {"naive_bayes": trained["naive_bayes"]})
+    rows = models.best_report(data, data, table).collect()
+    assert {r["label"] for r in rows} == set(TEXTS) and all(r["f1"] >= 0.9 and r["model"] == "naive_bayes" for r in rows)
+
+
+def test_lookup_join_ways_agree(spark):
+    from tidelog.operators.joins import lookup_join
+
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
+    table = spark.createDataFrame([("hot", 333, 1.5)] + [(f"k{i}", 1, float(i)) for i in range(0, 50, 2)], "k string, n int, v double")
+    for how in ("inner", "left"):
+        small = lookup_join(rows, table, "k", ["id"], "n", how).select("id", "k", "v").orderBy("id").collect()
+        large = lookup_join(rows, table, "k", ["id"], "n", how, max_rows=3, hot_keys=2).select("id", "k", "v").orderBy("id").collect()
+        assert small == large and len(small) == (1000 if how == "left" else len(small))

@@ -94,17 +94,18 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInPandas(run, "url string, link string")
 
 
-def reachable(links: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
+def reachable(links: DataFrame, seeds: DataFrame, max_depth: int = 2, salts: int = 16) -> DataFrame:
     """(url, depth): pages reached from the seeds over at most ``max_depth`` links, at their least depth.
 
-    ``links`` is (url, link), ``seeds`` is (url). One join per level; seen pages are left out, and
-    duplicates go before the shuffle.
+    ``links`` is (url, link), ``seeds`` is (url). One join per level; a page with very many links is
+    spread over salts by its targets, and each level holds a page once.
     """
-    edges = links.select("url", "link").distinct()
+    salted = links.select("url", "link").distinct().withColumn("_salt", F.pmod(F.hash("link"), F.lit(salts)))
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     level = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     seen = level
     for depth in range(1, max_depth + 1):
-        found = level.join(edges, "url").select(F.col("link").alias("url")).distinct()
+        found = level.select("url", every_salt).join(salted, ["url", "_salt"]).select(F.col("link").alias("url")).distinct()
         level = found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
         seen = seen.unionByName(level)
     return seen

@@ -41,7 +41,7 @@ def with_context(
     Groups are cut into blocks of consecutive rows; the last ``n`` rows of a block are copied to the
     next one, so every row finds its context in its block and no group is held in one task.
     """
-    placed = positions(events, keys)
+    placed = positions(events, keys, slice_seconds=1)
     here = F.floor(F.col("pos") / block)
     is_tail = F.col("pos") % block >= block - n
     homes = F.when(is_tail, F.array(here, here + 1)).otherwise(F.array(here))

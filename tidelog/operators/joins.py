@@ -1,28 +1,46 @@
 """Joins whose strategy follows a measured size."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
+HOT_KEYS = 1_000
 
 
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
     on: str,
-    spread: list[str | Column],
+    spread: list[str],
+    weight: str,
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
-    salts: int = 32,
+    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
-    """Join ``rows`` to a table with unique ``on`` values, where few values may make up most rows.
+    """Join ``rows`` to a stored table with unique ``on`` values, where few values may make up most rows.
 
-    A table of at most ``max_rows`` rows (counted first; stop reading one row later) is broadcast.
-    A larger one is copied once per salt and ``rows`` are spread over the salts by a hash of
-    ``spread``, so the rows of one hot value go to many tasks. Both ways give the same rows.
+    A table of at most ``max_rows`` rows is broadcast. Of a larger one, only the ``hot_keys`` keys with
+    the highest ``weight`` (their share of ``rows``) are; rows that found their key there are spread by
+    a hash of ``spread`` through the shuffle join that finds the other keys. Both ways give the same rows,
+    with the columns of ``table`` but ``weight``.
     """
+    values = [c for c in table.columns if c not in (on, weight)]
+    lean = table.select(on, *values)
     if table.limit(max_rows + 1).count() <= max_rows:
-        return rows.join(F.broadcast(table), on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.hash(*spread), F.lit(salts)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+        return rows.join(F.broadcast(lean), on, how)
+    hot = table.orderBy(F.desc(weight), F.asc(on)).limit(hot_keys)
+    hot = hot.select(F.col(on), F.struct(*values).alias("_hot"))
+    first = rows.join(F.broadcast(hot), on, "left")
+    # Rows that are done get keys no table row has: distinct, so they go to all tasks.
+    done = F.concat(F.lit("\x00"), F.xxhash64(*spread).cast("string"))
+    keyed = first.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(on).cast("string")).otherwise(done))
+    rest = lean.select(F.col(on).cast("string").alias("_key"), F.struct(*values).alias("_rest"))
+    both = keyed.join(rest, "_key", "left").withColumn("_found", F.coalesce("_hot", "_rest"))
+    if how == "inner":
+        both = both.filter(F.col("_found").isNotNull())
+    return both.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in values])
+
+
+def small_or_shuffled(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``table`` marked for broadcast if it has at most ``max_rows`` rows, else as it is."""
+    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog import fixed_values as V
+from tidelog.functions.rewrites import second_pass
 from tidelog.functions.scoring import displayed_confidence, label_or_anomaly, risk_score, softmax_confidence
 from tidelog.operators import metrics
 from tidelog.operators.joins import lookup_join
@@ -155,20 +156,32 @@ def predict(rows: DataFrame, model: PipelineModel) -> DataFrame:
     return scored.select(*rows.columns, "best", "scores")
 
 
-def score_events(events: DataFrame, model: PipelineModel, threshold: float = V.OOD_THRESHOLD) -> DataFrame:
+def score_events(
+    events: DataFrame, model: PipelineModel, threshold: float = V.OOD_THRESHOLD, second: bool = True
+) -> DataFrame:
     """Add predicted_label, confidence and risk_score to events with ``id`` and ``template``.
 
-    Each distinct template is scored once: templates repeat a lot, and duplicates are dropped before
-    the shuffle. Scores are joined back by template; a hot template is spread over tasks.
+    Templates repeat a lot, so each distinct one is scored once; they are counted before the shuffle.
+    The model was trained on templates of the second pass, so they get it here too, unless ``second``
+    is false. Scores are joined back by template; a hot template stays spread over tasks.
     """
-    distinct = events.select("template").filter("template is not null").distinct()
+    counted = events.filter("template is not null").groupBy("template").agg(F.count("*").alias("_n"))
+    text = second_pass(F.col("template")) if second else F.col("template")
+    distinct = counted.select(F.col("template").alias("_seen"), F.coalesce(text, F.lit("")).alias("template"), "_n")
     confidence = softmax_confidence(F.col("scores"))
     label = label_or_anomaly(F.col("best"), F.col("_c"), threshold)
-    scored = predict(distinct, model).withColumn("_c", confidence).select(
-        "template", label.alias("predicted_label"), displayed_confidence(F.col("_c")).alias("confidence")
+    scored = (
+        predict(distinct, model)
+        .withColumn("_c", confidence)
+        .select(
+            F.col("_seen").alias("template"),
+            "_n",
+            label.alias("predicted_label"),
+            displayed_confidence(F.col("_c")).alias("confidence"),
+        )
+        .withColumn("risk_score", risk_score(F.col("predicted_label")))
     )
-    scored = materialize(scored.withColumn("risk_score", risk_score(F.col("predicted_label"))), "scored-templates")
-    return lookup_join(events, scored, "template", ["id"], "left")
+    return lookup_join(events, materialize(scored, "scored-templates"), "template", ["id"], "_n", "left")
 
 
 def evaluate_models(test: DataFrame, models: dict[str, PipelineModel], text: str = "template", label: str = "label") -> DataFrame:
@@ -185,6 +198,17 @@ def evaluate_models(test: DataFrame, models: dict[str, PipelineModel], text: str
     return metrics.metrics_rows(pairs, ["model"])
 
 
+def best_report(
+    train: DataFrame, test: DataFrame, comparison: DataFrame, score: str = "macro_f1", text: str = "template", label: str = "label", **options
+) -> DataFrame:
+    """Refit the best of our own models in ``comparison`` and report it per class."""
+    own = comparison.filter(F.col("model").isin(MODEL_NAMES))
+    name = own.orderBy(F.desc(score), F.asc("model")).first()["model"]
+    model = train_models(train, text, label, names=[name], **options)[name]
+    pairs = predict(test.select(text, F.col(label).alias("y_true")), model).select("y_true", F.col("best").alias("y_pred"))
+    return metrics.per_class(metrics.confusion_counts(pairs)).withColumn("model", F.lit(name))
+
+
 def cross_validate(
     df: DataFrame,
     key: str,

@@ -56,7 +56,7 @@ def fit_vocabulary(
 def tfidf(documents: DataFrame, vocabulary: DataFrame, sublinear: bool = False) -> DataFrame:
     """(doc_id, term, tf, w): tf * idf with each document scaled to length one."""
     counts = doc_terms(documents, sublinear)
-    known = lookup_join(counts, vocabulary.select("term", "idf"), "term", ["doc_id"])
+    known = lookup_join(counts, vocabulary.select("term", "idf", "df"), "term", ["doc_id"], "df")
     raw = F.col("tf") * F.col("idf")
     length = F.sqrt(F.sum(raw * raw).over(Window.partitionBy("doc_id")))
     return known.select("doc_id", "term", "tf", (raw / length).alias("w"))

@@ -14,6 +14,8 @@ def read_html(spark: SparkSession, root: str) -> DataFrame:
     )
     base = root.rstrip("/").rsplit("/", 1)[-1]
     platform = F.regexp_extract("path", rf"/\Q{base}\E/([^/]+)/", 1)
+    # Bytes that are not UTF-8 are left out.
+    html = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return files.select(
-        F.col("path").alias("source"), platform.alias("platform"), F.decode("content", F.lit("UTF-8")).alias("html")
+        F.col("path").alias("source"), platform.alias("platform"), html.alias("html")
     ).filter("platform <> ''")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.operators.joins import small_or_shuffled
 from tidelog.schemas import LABELED_TEMPLATE, REVIEW_CANDIDATE
 
 
@@ -23,7 +24,7 @@ def write_runs(rows: DataFrame, path: str) -> None:
 
 def pending_runs(events: DataFrame, scored: DataFrame) -> DataFrame:
     """Events of runs that have no predictions yet."""
-    done = scored.select("run_ts").distinct()
+    done = small_or_shuffled(scored.select("run_ts").distinct())
     return events.join(done, "run_ts", "left_anti")
 
 

@@ -32,10 +32,10 @@ def event_stream(envelopes: DataFrame, host_pattern: str) -> DataFrame:
 
 
 def dedupe_stream(events: DataFrame, ts: str = "timestamp", delay: str = PULL_RANGE) -> DataFrame:
-    """First row per id; state is kept for as long as copies can arrive. Rows without an id get a key
-    of their own, so none is lost."""
-    key = F.coalesce("id", F.uuid()).alias("_key")
-    return events.withWatermark(ts, delay).select("*", key).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    """First row per id; state is kept for as long as copies can arrive. Rows without an id all stay."""
+    timed = events.withWatermark(ts, delay)
+    once = timed.filter(F.col("id").isNotNull()).dropDuplicatesWithinWatermark(["id"])
+    return once.unionByName(timed.filter(F.col("id").isNull()))
 
 
 def _replace_batch(rows: DataFrame, path: str, batch_id: int) -> None:
