@@ -102,6 +102,7 @@ def test_split_is_complete_and_disjoint(spark):
     assert {(r["label"], r["part"]): r["count"] for r in parts} == {
         ("a", "test"): 140, ("a", "train"): 560, ("b", "test"): 61, ("b", "train"): 242,
     }
+    assert sampling.stratified_split(df.withColumn("label", F.lit(None).cast("string")), "id").count() == 1003
     folds = sampling.stratified_folds(df, "id").groupBy("label", "fold").count()
     assert folds.groupBy("label").agg((F.max("count") - F.min("count")).alias("d")).agg(F.max("d")).first()[0] <= 1
 
@@ -142,6 +143,8 @@ def test_positions_across_slices_and_missing_time(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(i, "s", t + dt.timedelta(minutes=17 * i)) for i in range(50)] + [(99, "s", None)]
     df = spark.createDataFrame(rows, "id int, k string, ts timestamp")
+    nameless = df.withColumn("k", F.lit(None).cast("string"))
+    assert sorted(r["pos"] for r in sessions.positions(nameless, ["k"]).collect()) == list(range(51))
     got = {r["id"]: r["pos"] for r in sessions.positions(df, ["k"]).collect()}
     assert got[99] == 0 and all(got[i] == i + 1 for i in range(50))
 

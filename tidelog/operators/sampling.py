@@ -28,7 +28,7 @@ def rank_within_label(
     )
     in_slice = F.row_number().over(Window.partitionBy(label, "_s").orderBy("_h", key))
     joined = hashed.withColumn("_r", in_slice).join(
-        starts, (F.col(label) == F.col("_l")) & (F.col("_s") == F.col("_ss"))
+        starts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_s") == F.col("_ss"))
     )
     return joined.withColumn("position", F.col("_start") + F.col("_r")).drop("_h", "_s", "_l", "_ss", "_start", "_r")
 

@@ -4,6 +4,9 @@ A session may hold a third of all rows, so a session is never gathered whole. Po
 in time slices, and traces come in segments of bounded length.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +26,14 @@ def positions(
     sliced = events.withColumn("_slice", F.window(timed, f"{slice_seconds} seconds")["start"])
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    marks = [*keys, "_slice"]
+    starts = sizes.select(
+        *[F.col(c).alias(f"_at_{c}") for c in marks], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in marks])
     rank = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(ts, tie))
-    placed = sliced.withColumn("_r", rank).join(starts, [*keys, "_slice"])
-    return placed.withColumn("pos", F.col("_start") + F.col("_r") - 1).drop("_slice", "_r", "_start")
+    placed = sliced.withColumn("_r", rank).join(starts, same)
+    return placed.select(*events.columns, (F.col("_start") + F.col("_r") - 1).alias("pos"))
 
 
 def trace_segments(placed: DataFrame, keys: list[str], event: str, size: int = 1000) -> DataFrame:
