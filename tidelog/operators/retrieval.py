@@ -86,8 +86,9 @@ def with_payload(hits: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def top_context(hits: DataFrame, chars: int = 300) -> DataFrame:
-    """(query_id, context): the first characters of the best passage only."""
-    return hits.filter("rank = 1").select("query_id", cut(F.col("text"), chars).alias("context"))
+    """(query_id, context): the first characters of the best passage only. Hits are k rows per query."""
+    best = hits.groupBy("query_id").agg(F.min_by("text", "rank").alias("text"))
+    return best.select("query_id", cut(F.col("text"), chars).alias("context"))
 
 
 def explanations(anomalies: DataFrame, hits: DataFrame) -> DataFrame:

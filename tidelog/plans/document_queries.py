@@ -125,7 +125,7 @@ def full_hits(spark, sf_dir):
     return R.with_payload(R.top_passages(centroids(spark, sf_dir), embeddings(spark, sf_dir)), payload)
 
 
-@register("passage_context", f"{_HITS} select query_id, substring(text, 1, 300) as context from full_hits where rank = 1")
+@register("passage_context", f"{_HITS} select query_id, substring(arg_min(text, rank), 1, 300) as context from full_hits group by query_id")
 def _context(spark, sf_dir):
     return R.top_context(full_hits(spark, sf_dir))
 
@@ -145,7 +145,7 @@ _EXPLAIN = (
       coalesce(string_agg(source, ',' order by rank), '') as sources,
       coalesce(string_agg(platform || ':' || score, ',' order by rank), '') as chunks,
       {Q.quoted(_EXPLAIN[0])} || any_value(anomaly) || {Q.quoted(_EXPLAIN[1])}
-       || substring(any_value(text) filter (where rank = 1), 1, 300) as prompt
+       || substring(arg_min(text, rank), 1, 300) as prompt
      from anomalies a left join full_hits using (query_id) group by a.query_id""",
 )
 def _explanations(spark, sf_dir):

@@ -30,9 +30,17 @@ def summary_windows(
 
 def severity_windows(predictions: DataFrame, width: str = "15 minutes", delay: str = PULL_RANGE, ts: str = "ts") -> DataFrame:
     """(w, n, urgent, severity, reason) per window with incidents."""
-    found = predictions.withWatermark(ts, delay).filter(F.col("predicted_label").isin(V.INCIDENT_LABELS))
-    counted = found.groupBy(F.window(ts, width).alias("window")).agg(
-        F.count("*").alias("n"), F.max(risk_score(F.col("predicted_label"))).alias("top")
+    # Counted under a condition, not filtered first: the filter would move below the watermark, and
+    # windows would then stay open until the next incident.
+    is_incident = F.col("predicted_label").isin(V.INCIDENT_LABELS)
+    counted = (
+        predictions.withWatermark(ts, delay)
+        .groupBy(F.window(ts, width).alias("window"))
+        .agg(
+            F.count_if(is_incident).alias("n"),
+            F.max(F.when(is_incident, risk_score(F.col("predicted_label")))).alias("top"),
+        )
+        .filter("n > 0")
     )
     urgent = F.col("top") >= V.P1_RISK
     return counted.select(
