@@ -145,6 +145,20 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert sum(r["n"] for r in alerts) == 5 and {r["channel"] for r in alerts} == {"daily"}
 
 
+def test_stream_dedupe_drops_old_state(spark, tmp_path):
+    """Copies go, rows without an id stay, and the watermark moves although no such row comes late."""
+    schema = "id string, timestamp timestamp"
+    write(tmp_path / "in" / "1.json", [{"id": i, "timestamp": "2024-01-01T00:00:00Z"} for i in ("a", "a", "b", None, None)])
+    write(tmp_path / "in" / "2.json", [{"id": i, "timestamp": "2024-01-02T00:00:00Z"} for i in ("c", "c")])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = ingest.dedupe_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = [r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(r or "" for r in rows) == ["", "", "a", "b", "c"]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
 @pytest.mark.parametrize("name", ["html_text", "page_chunks", "chunk_vectors", "explain_top_incidents", "model_calls"])
 def test_queries_without_oracle_run(spark, sf_dir, name):
     import tidelog.plans.catalog  # noqa: F401

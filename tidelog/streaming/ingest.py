@@ -32,10 +32,14 @@ def event_stream(envelopes: DataFrame, host_pattern: str) -> DataFrame:
 
 
 def dedupe_stream(events: DataFrame, ts: str = "timestamp", delay: str = PULL_RANGE) -> DataFrame:
-    """First row per id; state is kept for as long as copies can arrive. Rows without an id all stay."""
-    timed = events.withWatermark(ts, delay)
-    once = timed.filter(F.col("id").isNotNull()).dropDuplicatesWithinWatermark(["id"])
-    return once.unionByName(timed.filter(F.col("id").isNull()))
+    """First row per id; state is kept for as long as copies can arrive. Rows without an id all stay.
+
+    Those rows get no watermark of their own: one that never sees a row would hold back the other, as
+    the lowest counts, and state would never be dropped.
+    """
+    with_id = events.filter(F.col("id").isNotNull())
+    once = with_id.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["id"])
+    return once.unionByName(events.filter(F.col("id").isNull()))
 
 
 def _replace_batch(rows: DataFrame, path: str, batch_id: int) -> None:
