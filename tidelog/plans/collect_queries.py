@@ -96,7 +96,8 @@ def _normalize(spark, sf_dir):
     """The 13-column event projection over envelopes built from every log row."""
     events = collect.normalize_events(envelopes(spark, sf_dir), views.HOST_PATTERN)
     return events.select(
-        "id", ts_text("timestamp").alias("ts_text"), "platform", "host", "source", "service",
+        "id", ts_text(F.to_utc_timestamp("timestamp", F.current_timezone())).alias("ts_text"),
+        "platform", "host", "source", "service",
         "severity", "facility", "message", "template", "event_type",
     )
 
