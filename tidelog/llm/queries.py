@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import packing, planes
+from tidelog.llm import chat, license_texts, licenses, packing, planes, revisits
 from tidelog.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,79 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_best_two_fit")
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+_CANONICAL = r"""
+  regexp_replace(regexp_replace(lower(regexp_extract(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*', ''), '^[^/?]*')), '^www[0-9]*\.', ''), ':(80|443)$', '')
+  || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_extract(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*', ''), '^[^/?]*(.*)', 1),
+    '([?&])(utm_[^=&#]*|ref|fbclid|gclid|phpsessid|jsessionid|sid)=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', ''), '/+$', '')"""
+
+
+@register(
+    "op2_revisits",
+    f"""
+    with records as (
+      select page_id, {_CANONICAL} as canonical_url, page_id % 3 = 2 as revisit,
+        concat('"', page_id // 4 % 5, '"') as etag, concat('s', page_id % 7) as server, html
+      from pages),
+    near as (
+      select r.*, max(case when not revisit then page_id end) over (
+        partition by canonical_url order by page_id rows between unbounded preceding and 1 preceding) as earlier
+      from records r)
+    select n.page_id, n.canonical_url,
+      case when not n.revisit then 'full' when f.page_id is null then 'no_earlier' when n.etag = f.etag then 'resolved' else 'mismatch' end as outcome,
+      case when not n.revisit then n.page_id when n.etag = f.etag then f.page_id end as body_id,
+      concat('content-length=', case when n.revisit and n.etag = f.etag then octet_length(encode(f.html)) else case when n.revisit then 0 else octet_length(encode(n.html)) end end,
+        ';etag=', n.etag, ';server=', n.server) as headers,
+      case when not n.revisit then sha256(n.html) when n.etag = f.etag then sha256(f.html) end as body_sha256
+    from near n left join records f on n.revisit and f.page_id = n.earlier""",
+)
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as a crawl in order of their ids, every third of them a not-modified answer without a body."""
+    revisit, length = F.col("page_id") % 3 == 2, F.octet_length("html").cast("string")
+    tag = F.concat(F.lit('"'), F.floor(F.col("page_id") / 4) % 5, F.lit('"'))
+    pages = table(spark, sf_dir, "pages")
+    records = pages.select(
+        F.col("page_id").alias("record_id"), "url", F.col("page_id").alias("ts"), F.when(revisit, 304).otherwise(200).alias("status"),
+        F.create_map(
+            F.lit("ETag"), tag, F.lit("Server"), F.concat(F.lit("s"), F.col("page_id") % 7), F.lit("Content-Length"), F.when(revisit, "0").otherwise(length)
+        ).alias("headers"),
+    )
+    bodies = pages.select(F.col("page_id").alias("record_id"), F.sha2("html", 256).alias("body_sha256"))
+    found = revisits.with_bodies(revisits.resolve(records), bodies)
+    shown = F.transform(F.array_sort(F.map_entries("merged")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select(F.col("record_id").alias("page_id"), "canonical_url", "outcome", "body_id", F.array_join(shown, ";").alias("headers"), "body_sha256")
+
+
+@register("op9_chat_windows")
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.windows(rows.unionByName(more)))
+
+
+def _canonical_sql() -> str:
+    text = f"regexp_replace(translate(text, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
+    text = f"trim(regexp_replace({text}, '{licenses.BETWEEN_WORDS}', ' ', 'g'))"
+    for pattern, put in licenses.SPELLINGS:
+        text = f"regexp_replace({text}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
+    for word, put in licenses.WHOLE_WORDS:
+        text = f"replace({text}, '{word}', '{put}')"
+    return text
+
+
+def _known_sql() -> str:
+    rows = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in license_texts.TEXTS.items())
+    return f"select sha256({_canonical_sql()}) as license_digest, min(license_id) as license_id from (values {rows}) t(license_id, text) group by 1"
+
+
+@register(
+    "op10_licenses",
+    f"""
+    with known as ({_known_sql()}), digests as (select doc_id, sha256({_canonical_sql()}) as license_digest from documents)
+    select doc_id, license_digest, license_id from digests left join known using (license_digest)""",
+)
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
