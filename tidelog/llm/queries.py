@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, license_texts, licenses, packing, planes, revisits
+from tidelog.llm import chat, jaccard, license_texts, licenses, packing, planes, revisits
 from tidelog.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ def _known_sql() -> str:
 )
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@register("op8_ngram_jaccard")
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
