@@ -14,9 +14,9 @@ import pandas as pd
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 # Pieces a worker keeps (about 45 bytes each); a full store is emptied and filled anew.
-CACHED_PIECES = 3_000_000
+CACHED_PIECES = 1_500_000
 # Characters cut at once: bounds the arrays of a batch.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_500_000
 
 _SEPARATOR = "￿"
 _LETTER, _NUMBER, _OTHER, _SPACE, _WHITE, _END, _HARD = range(7)
