@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, jaccard, license_texts, licenses, packing, planes, revisits
+from tidelog.llm import chat, debruijn, jaccard, license_texts, licenses, packing, planes, revisits
 from tidelog.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_ngram_jaccard")
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
+@register("op5_debruijn_dedup")
+def op5_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.removal_digests(table(spark, sf_dir, "documents"))
