@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, debruijn, jaccard, license_texts, licenses, packing, planes, revisits
+from tidelog.llm import chat, debruijn, fmindex, jaccard, license_texts, licenses, packing, planes, revisits
 from tidelog.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_debruijn_dedup")
 def op5_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.removal_digests(table(spark, sf_dir, "documents"))
+
+
+@register("op4_fm_index")
+def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fmindex.find_phrases(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "n_words", *fmindex.hit_counts(found))
