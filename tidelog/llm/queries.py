@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, debruijn, fmindex, jaccard, license_texts, licenses, packing, planes, revisits
+from tidelog.llm import chat, debruijn, fmindex, jaccard, license_texts, licenses, onebit, packing, planes, revisits
 from tidelog.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,20 @@ def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = fmindex.find_phrases(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.select("doc_id", "n_words", *fmindex.hit_counts(found))
+
+
+@register(
+    "op7_one_bit_codes",
+    """
+    with valid as (
+      select vec_id, cast(embedding as double[]) as v from embeddings
+      where embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    scored as (
+      select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as score
+      from valid q join valid c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+    from scored qualify rank <= 20""",
+)
+def op7_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
