@@ -63,19 +63,19 @@ def _class(s: np.ndarray) -> bytes:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
 
 
 def classes(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, n, cls) per document: the size and the digest of its set; a null doc_id is the least number."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary())])
+    """(doc_id, text_hash, n, cls) per document: the size and the digest of its set; a null doc_id is the least number."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cls", pa.binary())])
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = sets(batch.column(1).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(map(_class, found), pa.binary())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array(map(_class, found), pa.binary())], schema=kinds)
 
-    return _keyed(docs).mapInArrow(sized, "doc_id bigint, n bigint, cls binary")
+    return _keyed(docs).mapInArrow(sized, "doc_id bigint, text_hash bigint, n bigint, cls binary")
 
 
 def repeated_documents(docs: DataFrame, n_ngrams: int, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -240,7 +240,8 @@ def linked_groups(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id, the least doc_id reachable by links."""
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the least doc_id reachable by links) and
+    text_hash, which with doc_id names the row."""
     rows = materialize(classes(docs, k), "classes")
     firsts = rows.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("doc_id") != _NULL, F.col("doc_id"))).alias("least"))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -269,4 +270,13 @@ def groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     labelled = firsts.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
     real = F.when(F.col("doc_id") != _NULL, F.col("doc_id"))
     joined = rows.join(labelled, "cls", "left")
-    return joined.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real).alias("component_id"))
+    return joined.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real).alias("component_id"), "text_hash")
+
+
+def one_of_each_group(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without those that have a group with a smaller doc_id in it; rows with equal id and text stay once."""
+    found = groups(docs, k, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
+    found = found.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
+    named = docs.withColumn("_hash_of", F.xxhash64("text"))
+    kept = named.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash_of") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash_of"]).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, debruijn, fmindex, jaccard, license_texts, licenses, onebit, packing, planes, revisits
+from tidelog.llm import chat, debruijn, fmindex, jaccard, kneserney, license_texts, licenses, onebit, packing, planes, revisits
 from tidelog.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,9 @@ def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register("op6_kneser_ney")
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return kneserney.classify(docs, table(spark, sf_dir, "labels")).drop("text")
