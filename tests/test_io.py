@@ -59,13 +59,14 @@ def test_runs_are_replaced_not_repeated(spark, tmp_path):
     assert [r["id"] for r in sinks.pending_runs(stored, stored.filter("run_ts = 'r1'")).collect()] == ["c"]
 
 
-def test_raw_audit_and_alert_sinks_append(spark, tmp_path):
+def test_raw_audit_and_alert_sinks_replace_their_run(spark, tmp_path):
     df = spark.createDataFrame([("m", "esxi", "r1")], "text string, platform string, run_ts string")
     for _ in range(2):
         sinks.write_raw(df, str(tmp_path / "raw"))
         sinks.write_alerts(df.withColumn("channel", F.lit("daily")), str(tmp_path / "alerts"))
+    sinks.write_raw(df.withColumn("run_ts", F.lit("r2")), str(tmp_path / "raw"))
     assert spark.read.json(str(tmp_path / "raw")).count() == 2
-    assert spark.read.json(str(tmp_path / "alerts")).filter("channel = 'daily'").count() == 2
+    assert spark.read.json(str(tmp_path / "alerts")).filter("channel = 'daily'").count() == 1
 
 
 def test_label_files(spark, tmp_path):

@@ -101,6 +101,8 @@ def test_lookup_join_ways_agree(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
     table = spark.createDataFrame([("hot", 333, 1.5)] + [(f"k{i}", 1, float(i)) for i in range(0, 50, 2)], "k string, n int, v double")
     for how in ("inner", "left"):
-        small = lookup_join(rows, table, "k", ["id"], "n", how).select("id", "k", "v").orderBy("id").collect()
-        large = lookup_join(rows, table, "k", ["id"], "n", how, max_rows=3, hot_keys=2).select("id", "k", "v").orderBy("id").collect()
+        small = lookup_join(rows, table, "k", ["id"], "n", how)
+        large = lookup_join(rows, table, "k", ["id"], "n", how, max_bytes=3, hot_keys=2)
+        assert small.columns == large.columns == ["id", "k", "v"] and [f.dataType for f in small.schema] == [f.dataType for f in large.schema]
+        small, large = (x.orderBy("id").collect() for x in (small, large))
         assert small == large and len(small) == (1000 if how == "left" else len(small))

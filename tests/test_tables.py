@@ -132,11 +132,19 @@ def test_exact_percentile(spark):
 def test_traces(spark):
     df = spark.createDataFrame([("[E5, E22,,E11]",), ("[]",), ("E1",)], "f string")
     assert [r[0] for r in df.select(sessions.parse_trace(F.col("f"))).collect()] == [["E5", "E22", "E11"], [], ["E1"]]
-    traces = spark.createDataFrame([(1, "[E1,E2,E9]"), (2, "[]")], "trace_id int, features string")
-    words = spark.createDataFrame([("E1", "one"), ("E2", "two")], "event_id string, template string")
+    traces = spark.createDataFrame([(1, "[E1,E2,E9]"), (2, "[]"), (3, None)], "trace_id int, features string")
+    words = spark.createDataFrame([("E1", "one"), ("E1", "and"), ("E2", "two"), (None, "none")], "event_id string, template string")
     for limit in (10, 0):
-        got = {r["trace_id"]: r["document"] for r in sessions.trace_text(traces, words, max_literal=limit).collect()}
-        assert got == {1: "one two E9", 2: ""}
+        out = sessions.trace_text(traces, words, max_literal=limit)
+        assert out.columns == ["trace_id", "features", "document"]
+        assert {r["trace_id"]: r["document"] for r in out.collect()} == {1: "one two E9", 2: "", 3: None}
+
+
+def test_segments_join_to_whole_traces(spark):
+    events = spark.range(25).selectExpr("id % 2 as s", "id as pos_", "concat('e', id) as e").withColumn("pos", F.floor(F.col("pos_") / 2))
+    for size in (1, 4, 100):
+        whole = sessions.whole_traces(sessions.trace_segments(events, ["s"], "e", size), ["s"])
+        assert {r["s"]: r["features"] for r in whole.collect()} == {s: "[" + ",".join(f"e{i}" for i in range(s, 25, 2)) + "]" for s in (0, 1)}
 
 
 def test_positions_across_slices_and_missing_time(spark):

@@ -3,10 +3,18 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 HOT_KEYS = 1_000
 
 
+def within(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows of ``table`` together take at most ``max_bytes`` as text (plus 16 for each value)."""
+    width = F.lit(0).cast("long")
+    for c in table.columns:
+        width = width + 16 + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    return (table.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]) <= max_bytes
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
@@ -14,20 +22,20 @@ def lookup_join(
     spread: list[str],
     weight: str,
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Join ``rows`` to a stored table with unique ``on`` values, where few values may make up most rows.
 
-    A table of at most ``max_rows`` rows is broadcast. Of a larger one, only the ``hot_keys`` keys with
+    A table of at most ``max_bytes`` is broadcast. Of a larger one, only the ``hot_keys`` keys with
     the highest ``weight`` (their share of ``rows``) are; rows that found their key there are spread by
-    a hash of ``spread`` through the shuffle join that finds the other keys. Both ways give the same rows,
-    with the columns of ``table`` but ``weight``.
+    a hash of ``spread`` through the shuffle join that finds the other keys. Both ways give the same rows
+    and schema: the columns of ``rows``, then those of ``table`` but ``on`` and ``weight``.
     """
     values = [c for c in table.columns if c not in (on, weight)]
     lean = table.select(on, *values)
-    if table.limit(max_rows + 1).count() <= max_rows:
-        return rows.join(F.broadcast(lean), on, how)
+    if within(lean, max_bytes):
+        return rows.join(F.broadcast(lean), on, how).select(*rows.columns, *values)
     hot = table.orderBy(F.desc(weight), F.asc(on)).limit(hot_keys)
     hot = hot.select(F.col(on), F.struct(*values).alias("_hot"))
     first = rows.join(F.broadcast(hot), on, "left")
@@ -41,6 +49,6 @@ def lookup_join(
     return both.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in values])
 
 
-def small_or_shuffled(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``table`` marked for broadcast if it has at most ``max_rows`` rows, else as it is."""
-    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
+def small_or_shuffled(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``table`` marked for broadcast if it takes at most ``max_bytes``, else as it is."""
+    return F.broadcast(table) if within(table, max_bytes) else table

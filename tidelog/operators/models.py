@@ -25,7 +25,9 @@ from tidelog.session import materialize
 
 MODEL_NAMES = ["naive_bayes", "random_forest", "logreg", "linearsvc"]
 DEFAULT_MODEL = "linearsvc"
-MAX_VOCABULARY = 1 << 18
+EVERY_TERM = (1 << 31) - 1  # of a vocabulary without a caller's limit
+MAX_ITERATIONS = 2000
+
 
 def _tokens_sql(text: str) -> str:
     pattern = TOKEN.replace("\\", "\\\\")
@@ -72,7 +74,7 @@ class SmoothIdf(Estimator, HasInputCol, HasOutputCol):
 
 
 def fit_features(
-    train: DataFrame, text: str, max_features: int = MAX_VOCABULARY, sublinear: bool = False
+    train: DataFrame, text: str, max_features: int = EVERY_TERM, sublinear: bool = False
 ) -> PipelineModel:
     """Unigram and bigram TF-IDF vectors in column ``features``; terms in two documents or more."""
     stages: list[Transformer] = []
@@ -111,7 +113,7 @@ def classifier(name: str, rows: int, trees: int = 100, depth: int = 30, seed: in
         return RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="class_weight", seed=seed)
     if name == "logreg":
         return LogisticRegression(
-            family="multinomial", weightCol="class_weight", standardization=False, regParam=1.0 / max(rows, 1), maxIter=100
+            family="multinomial", weightCol="class_weight", standardization=False, regParam=1.0 / max(rows, 1), maxIter=MAX_ITERATIONS
         )
     if name == "linearsvc":
         return SquaredHingeClassifier()
@@ -124,7 +126,7 @@ def train_models(
     label: str = "label",
     classes: list[str] = sorted(V.LABELS),
     names: list[str] = MODEL_NAMES,
-    max_features: int = MAX_VOCABULARY,
+    max_features: int = EVERY_TERM,
     sublinear: bool = False,
     **options: int,
 ) -> dict[str, PipelineModel]:

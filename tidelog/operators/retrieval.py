@@ -1,7 +1,5 @@
 """Exact cosine top-k of queries over a vector table, and explanation records."""
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,7 +9,8 @@ from tidelog import fixed_values as V
 from tidelog.functions.prompts import explain_prompt
 from tidelog.functions.text import cut, round_even
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, VECTOR_PART = 1024, 8192
+_QUERIES_AT_ONCE = 64
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -23,58 +22,41 @@ def _matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in vectors])
 
 
-def _block_hits(block: DataFrame, vectors: DataFrame, k: int, id_type: str, query_type: str) -> DataFrame:
-    rows = block.collect()  # at most QUERY_BLOCK rows
-    query_ids = [r["query_id"] for r in rows]
-    unit_queries = _unit(_matrix([r["vector"] for r in rows]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            scores = unit_queries @ _unit(_matrix(batch["vector"])).T
-            ids = np.broadcast_to(batch["id"].to_numpy(), scores.shape)
-            if best is not None:
-                scores, ids = np.hstack([best[0], scores]), np.hstack([best[1], ids])
-            order = np.lexsort((ids, -scores), axis=1)[:, :k]
-            best = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-        if best is not None:
-            n = best[0].shape[1]
-            yield pd.DataFrame(
-                {"query_id": np.repeat(query_ids, n), "id": best[1].ravel(), "score": best[0].ravel()}
-            )
-
-    return vectors.select("id", "vector").mapInPandas(run, f"query_id {query_type}, id {id_type}, score double")
-
-
-def top_passages(queries: DataFrame, vectors: DataFrame, k: int = V.TOP_PASSAGES, block: int = QUERY_BLOCK) -> DataFrame:
+def top_passages(
+    queries: DataFrame, vectors: DataFrame, k: int = V.TOP_PASSAGES, block: int = QUERY_BLOCK, part: int = VECTOR_PART
+) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest by cosine, exact, lower id first on ties.
 
-    ``queries`` is (query_id, vector), ``vectors`` is (id, vector). Queries go to the tasks in blocks
-    of bounded size; every task multiplies its vectors with the block and keeps k per query, so only
-    k rows per query and task reach the final ranking, never all pairs.
+    ``queries`` is (query_id, vector), ``vectors`` is (id, vector). Queries are dealt to blocks and vectors to parts of
+    about those sizes, by hash; each pair of a block and a part is one group of a task, which multiplies slices of the two
+    and keeps k rows per query. So neither side passes through the driver, and the plan is the same for any number of both.
     """
     id_type = vectors.schema["id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
-    n = queries.count()
-    n_blocks = max(1, -(-n // block))
-    if n_blocks == 1:
-        parts = [queries]
-    else:
-        # Twice as many hash buckets as full blocks leaves room for uneven ones; a bucket that is
-        # still too large is split by its own rank.
-        bucket = F.pmod(F.xxhash64("query_id"), F.lit(2 * n_blocks))
-        rank = F.row_number().over(Window.partitionBy("_b").orderBy("query_id"))
-        cells = queries.withColumn("_b", bucket).withColumn("_c", F.floor((rank - 1) / block))
-        keys = [(r["_b"], r["_c"]) for r in cells.select("_b", "_c").distinct().collect()]
-        parts = [cells.filter((F.col("_b") == b) & (F.col("_c") == c)).drop("_b", "_c") for b, c in keys]
-    if n == 0:
-        return queries.sparkSession.createDataFrame([], f"query_id {query_type}, id {id_type}, score double, rank int")
-    hits = None
-    for part in parts:
-        found = _block_hits(part, vectors, k, id_type, query_type)
-        hits = found if hits is None else hits.unionByName(found)
+    blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (vectors, part)))
+
+    def deal(df: DataFrame, key: str, own: str, n: int, other: str, n_other: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
+        return df.select(key, "vector", F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), every.alias(other))
+
+    def cell(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "id": held["id"].iloc[:0], "score": np.zeros(0)})
+        unit_vectors, ids = _unit(_matrix(held["vector"])), held["id"].to_numpy()
+        found = []
+        for at in range(0, len(asked), _QUERIES_AT_ONCE):
+            some = asked.iloc[at : at + _QUERIES_AT_ONCE]
+            scores = _unit(_matrix(some["vector"])) @ unit_vectors.T
+            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+            n = order.shape[1]
+            found.append(
+                pd.DataFrame({"query_id": some["query_id"].repeat(n).to_numpy(), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+            )
+        return pd.concat(found)
+
+    left = deal(queries, "query_id", "_block", blocks, "_part", parts).groupBy("_block", "_part")
+    right = deal(vectors, "id", "_part", parts, "_block", blocks).groupBy("_block", "_part")
+    hits = left.cogroup(right).applyInPandas(cell, f"query_id {query_type}, id {id_type}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -44,6 +44,13 @@ def trace_segments(placed: DataFrame, keys: list[str], event: str, size: int = 1
     return placed.select(*keys, "pos", event, segment).groupBy(*keys, "segment").agg(text.alias("features"))
 
 
+def whole_traces(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per group with its whole trace, from its segments (each counted and joined before)."""
+    pairs = F.array_sort(F.collect_list(F.struct("segment", "features")))
+    bare = F.transform(pairs, lambda p: F.regexp_replace(p["features"], r"^\[|\]$", ""))
+    return segments.groupBy(*keys).agg(F.concat(F.lit("["), F.array_join(bare, ","), F.lit("]")).alias("features"))
+
+
 def parse_trace(features: Column) -> Column:
     """"[E5, E22]" to an array; blank entries drop out."""
     bare = F.regexp_replace(features, r"^[\[\]]+|[\[\]]+$", "")
@@ -57,11 +64,13 @@ def fail_label(label: Column) -> Column:
 def trace_text(traces: DataFrame, dictionary: DataFrame, max_literal: int = MAX_LITERAL_DICTIONARY) -> DataFrame:
     """Add ``document``: the trace with each event id replaced by its template, unknown ids kept.
 
-    ``traces`` needs a unique ``trace_id`` and ``features``; ``dictionary`` is (event_id, template).
-    A dictionary of at most ``max_literal`` rows becomes a literal map, so nothing is shuffled; a
-    larger one is joined by event id, spread over salts because few ids make up most rows.
+    ``traces`` needs a unique ``trace_id`` and ``features``; ``dictionary`` is (event_id, template), of a repeated id the
+    greatest template counts, as rows have no order. Null features give a null document.
+    A dictionary of at most ``max_literal`` ids becomes a literal map, so nothing is shuffled; a larger one is joined by
+    event id, spread over salts because few ids make up most rows. Both ways give the same rows and columns.
     """
-    entries = dictionary.select("event_id", "template").limit(max_literal + 1).collect()
+    dictionary = dictionary.filter("event_id is not null").groupBy("event_id").agg(F.max("template").alias("template"))
+    entries = dictionary.limit(max_literal + 1).collect()
     if len(entries) <= max_literal:
         pairs = [F.lit(x) for row in entries for x in (row["event_id"], row["template"])]
         lookup = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
@@ -83,4 +92,5 @@ def _trace_text_joined(traces: DataFrame, dictionary: DataFrame, salts: int = 32
     # One trace was one input row, so its words fit one row again.
     words = F.transform(F.array_sort(F.collect_list(F.struct("pos", word))), lambda x: x["w"])
     texts = joined.groupBy("trace_id").agg(F.array_join(words, " ").alias("document"))
-    return traces.join(texts, "trace_id", "left").withColumn("document", F.coalesce("document", F.lit("")))
+    document = F.when(F.col("features").isNotNull(), F.coalesce("document", F.lit(""))).alias("document")
+    return traces.join(texts, "trace_id", "left").select(*traces.columns, document)

@@ -274,6 +274,9 @@ _TRACES = """traces as (select user_id, '[' || string_agg(event_type, ',' order
   from events group by user_id)"""
 
 
+SEGMENT = 10  # events: sessions of the test data then have several segments
+
+
 def traces(spark, sf_dir):
     """One row per user session: features text and outcome."""
     events = views.table(spark, sf_dir, "events")
@@ -281,7 +284,8 @@ def traces(spark, sf_dir):
     outcome = events.groupBy("user_id").agg(
         F.when(F.count_if(F.col("event_type") == "error") > 15, " Fail").otherwise("Success").alias("outcome")
     )
-    return SE.trace_segments(placed, ["user_id"], "event_type", 1000).join(outcome, "user_id")
+    segments = SE.trace_segments(placed, ["user_id"], "event_type", SEGMENT)
+    return SE.whole_traces(segments, ["user_id"]).join(outcome, "user_id")
 
 
 _SEGMENTS = """seg as (select user_id, cast((pos // 20) as integer) as segment,

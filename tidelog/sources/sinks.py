@@ -8,18 +8,18 @@ from tidelog.schemas import LABELED_TEMPLATE, REVIEW_CANDIDATE
 
 
 def write_raw(envelopes: DataFrame, path: str) -> None:
-    """Audit copy of what was pulled: JSON by platform and run."""
-    envelopes.write.mode("append").partitionBy("platform", "run_ts").json(path)
+    """Audit copy of what was pulled: JSON by platform and run. A repeated run replaces its own rows."""
+    _replace(envelopes, ["platform", "run_ts"], path, "json")
+
+
+def _replace(rows: DataFrame, by: list[str], path: str, form: str) -> None:
+    """Write the partitions present in ``rows`` anew and leave all others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(form).save(path)
 
 
 def write_runs(rows: DataFrame, path: str) -> None:
     """Events or predictions as Parquet by run; only the runs present in ``rows`` are replaced."""
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_ts")
-        .parquet(path)
-    )
+    _replace(rows, ["run_ts"], path, "parquet")
 
 
 def pending_runs(events: DataFrame, scored: DataFrame) -> DataFrame:
@@ -42,8 +42,8 @@ def write_candidates(candidates: DataFrame, path: str) -> None:
 
 
 def write_vectors(chunks: DataFrame, path: str) -> None:
-    """The whole vector table anew: id, vector and payload."""
-    key = F.xxhash64("source", "chunk_id").alias("id")
+    """The whole vector table anew: id (source and chunk number, so that no two chunks share one), vector and payload."""
+    key = F.concat_ws("#", "source", F.col("chunk_id").cast("string")).alias("id")
     chunks.select(key, "vector", "text", "source", "platform", "chunk_id").write.mode("overwrite").parquet(path)
 
 
@@ -72,13 +72,7 @@ def write_evaluation(
 
 def write_reports(reports: DataFrame, path: str) -> None:
     """(period, content): a period is replaced when it is written again."""
-    (
-        reports.select("period", "content")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("period")
-        .parquet(path)
-    )
+    _replace(reports.select("period", "content"), ["period"], path, "parquet")
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -86,4 +80,5 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
-    alerts.write.mode("append").partitionBy("channel").json(path)
+    """JSON by run and channel; a repeated run replaces its own alerts."""
+    _replace(alerts, ["run_ts", "channel"], path, "json")

@@ -81,13 +81,13 @@ def start_scoring(
 
 
 def _earlier_ids(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Ids that earlier batches wrote and that are young enough to be delivered again."""
+    """Ids that earlier batches wrote and that may be delivered again: not older than the batch's rows, or without a time."""
     schema = StructType(batch.select("id", "timestamp").schema.fields).add("batch_id", "integer")
     oldest = batch.agg(F.min("timestamp")).scalar()
     return (
         batch.sparkSession.read.schema(schema)
         .parquet(path)
-        .filter((F.col("batch_id") < batch_id) & (F.col("timestamp") >= oldest))
+        .filter((F.col("batch_id") < batch_id) & (F.col("timestamp").isNull() | (F.col("timestamp") >= F.lit(oldest))))
         .select("id")
         .distinct()
     )
