@@ -91,7 +91,7 @@ def test_report(spark):
         F.lit(dt.datetime(2024, 1, 1)).alias("ts"), F.lit(dt.datetime(2024, 1, 1)).alias("run_ts"), F.lit("2024-01-01").alias("period"),
     )
     text = reports.markdown_report(df, "period").first()["content"]
-    assert "Total events processed: 2" in text and "- unknown: 1" in text and "- t1" in text
+    assert "Events: 2" in text and "- unknown: 1" in text and "- t1" in text
     stats = {(r["dimension"], r["key"]): r["n"] for r in reports.window_stats(df).collect()}
     assert stats[("total", "")] == 2 and stats[("platform", "unknown")] == 1
 

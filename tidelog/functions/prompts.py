@@ -17,7 +17,7 @@ FEW_SHOT_SYSTEM = (
     f"You label log templates of virtualization hosts. Answer with one word out of: {_NAMES}.\n"
     "noise is routine traffic, important is a change in the life of a machine, error is a failure, "
     "security_noise is sign-in and session traffic.\n\n"
-    + "\n\n".join(f"Template: {t}\nLabel: {label}" for t, label in V.FEW_SHOT_PAIRS)
+    + "\n\n".join(f"- {t}\n  label = {label}" for t, label in V.FEW_SHOT_PAIRS)
 )
 
 SEVERITY_SYSTEM = (
@@ -32,18 +32,18 @@ def _joined(*parts: Column | str) -> Column:
 
 
 def classify_prompt(template: Column) -> Column:
-    return _joined("Classify:\n", cut(template, 300))
+    return _joined("Which label fits this template?\n", cut(template, 300))
 
 
 def few_shot_prompt(template: Column) -> Column:
-    return _joined("Template: ", cut(template, 300), "\nLabel:")
+    return _joined("- ", cut(template, 300), "\n  label =")
 
 
 def window_prompt(template: Column, context: Column) -> Column:
     """``context`` is an array of earlier templates, oldest first; empty leaves the section out."""
-    lines = F.array_join(F.transform(context, lambda t: F.concat(F.lit("  - "), t)), "\n")
-    section = F.when(F.size(context) > 0, F.concat(F.lit("\nRecent log context (last 5):\n"), lines)).otherwise("")
-    return _joined("Log template to classify:", section, "\n\nTemplate: ", template)
+    lines = F.array_join(F.transform(context, lambda t: F.concat(F.lit("* "), t)), "\n")
+    section = F.when(F.size(context) > 0, F.concat(F.lit("What the same source logged before, oldest first:\n"), lines, F.lit("\n"))).otherwise("")
+    return _joined(section, "Which label fits the next template?\n", template)
 
 
 def severity_prompt(lines: Column) -> Column:

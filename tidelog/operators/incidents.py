@@ -105,15 +105,14 @@ def alerts(events: DataFrame, keys: list[str], at: Column | None = None) -> Data
     time_line = [] if at is None else [F.concat(F.lit("Time: "), F.date_format(at, "HH:mm 'UTC'"))]
     urgent_text = F.concat_ws(
         "\n",
-        F.concat(F.col("severity"), F.lit(" infrastructure alert")),
-        F.concat(F.lit("Anomalies: "), F.col("n")),
-        F.concat(F.lit("Affected hosts: "), hosts),
-        F.concat(F.lit("Assessment: "), F.col("reason")),
+        F.concat(F.col("severity"), F.lit(": "), F.col("n"), F.lit(" anomalous events")),
+        F.concat(F.lit("Hosts: "), hosts),
+        F.concat(F.lit("Why: "), F.col("reason")),
         *time_line,
-        F.lit("Top anomalies:"),
+        F.lit("Highest risk first:"),
         F.col("top_lines"),
     )
-    daily_text = F.format_string("%d event(s) classified as error/anomaly. %s", F.col("n"), F.col("reason"))
+    daily_text = F.format_string("%d errors or anomalies, none urgent: %s", F.col("n"), F.col("reason"))
     return routed.select(
         *keys,
         "channel",

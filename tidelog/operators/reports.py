@@ -112,14 +112,14 @@ def markdown_report(events: DataFrame, period: str) -> DataFrame:
     period_text = F.col(period).cast("string")
     content = F.concat_ws(
         "\n",
-        F.concat(F.lit("## Daily Infrastructure Summary — "), period_text),
-        F.lit("\n### Overall Health"),
-        F.concat(F.lit("Total events processed: "), F.col("total_events")),
-        F.lit("\n### Events by Label"),
+        F.concat(F.lit("# Log report "), period_text),
+        F.lit("\n## Volume"),
+        F.concat(F.lit("Events: "), F.col("total_events")),
+        F.lit("\n## Labels"),
         F.col("labels"),
-        F.lit("\n### Top Errors"),
+        F.lit("\n## First errors"),
         F.coalesce("errors", F.lit("")),
-        F.lit("\n### Platforms"),
+        F.lit("\n## By platform"),
         F.col("platforms"),
     )
     return report_parts(events, period).select(period, "total_events", content.alias("content"))

@@ -226,8 +226,8 @@ def _reachable(spark, sf_dir):
 
 @register(
     "classify_prompts",
-    f"""with {Q.VARIED} select id, 'Classify:' || chr(10) || substring(message, 1, 300) as classify,
-     'Template: ' || substring(message, 1, 300) || chr(10) || 'Label:' as few_shot from logs""",
+    f"""with {Q.VARIED} select id, 'Which label fits this template?' || chr(10) || substring(message, 1, 300) as classify,
+     '- ' || substring(message, 1, 300) || chr(10) || '  label =' as few_shot from logs""",
 )
 def _prompts(spark, sf_dir):
     text = F.col("message")
@@ -252,9 +252,9 @@ def _window_context(spark, sf_dir):
 
 @register(
     "window_prompts",
-    f"""{_CONTEXT} select id, 'Log template to classify:' || case when len(ctx) > 0 then chr(10) ||
-      'Recent log context (last 5):' || chr(10) || array_to_string(list_transform(ctx, lambda t: '  - ' || t), chr(10))
-      else '' end || chr(10) || chr(10) || 'Template: ' || message as prompt from c""",
+    f"""{_CONTEXT} select id, case when len(ctx) > 0 then 'What the same source logged before, oldest first:' || chr(10)
+      || array_to_string(list_transform(ctx, lambda t: '* ' || t), chr(10)) || chr(10)
+      else '' end || 'Which label fits the next template?' || chr(10) || message as prompt from c""",
 )
 def _window_prompts(spark, sf_dir):
     return with_context(spark, sf_dir).select(

@@ -8,6 +8,8 @@ from tidelog.operators import selection
 from tidelog.plans import oracle_text as Q
 from tidelog.plans import views
 from tidelog.plans.registry import register
+from tidelog.session import fresh_path
+from tidelog.sources import sinks
 
 _INC = f"""with {Q.PREDICTIONS}, n as (select max(ts) as now from predictions),
  inc as (select * from predictions where predicted_label in ('error', 'anomaly'))"""
@@ -125,9 +127,9 @@ def _route(spark, sf_dir):
     "alerts",
     f"""{_INC}, {_WIN}, {_ASSESS}, lined as ({_TOP_LINES})
      select w, channel, severity, n, hosts, reason, case when channel = 'urgent' then
-       concat_ws(chr(10), severity || ' infrastructure alert', 'Anomalies: ' || n, 'Affected hosts: ' || hosts,
-        'Assessment: ' || reason, 'Top anomalies:', lines)
-       else n || ' event(s) classified as error/anomaly. ' || reason end as text
+       concat_ws(chr(10), severity || ': ' || n || ' anomalous events', 'Hosts: ' || hosts,
+        'Why: ' || reason, 'Highest risk first:', lines)
+       else n || ' errors or anomalies, none urgent: ' || reason end as text
      from (select *, case when urgent then 'urgent' else 'daily' end as channel, {_SEVERITY} from assessed)
      join lined using (w)""",
 )
@@ -182,8 +184,7 @@ def _errors(spark, sf_dir):
 _DAY = "select *, strftime(ts, '%Y-%m-%d') as period from"
 
 
-@register(
-    "markdown_reports",
+_REPORTS = (
     f"""{_INC}, p as ({_DAY} predictions), i as ({_DAY} inc),
      lab as (select period, string_agg('- ' || predicted_label || ': ' || n, chr(10) order by n desc, predicted_label) as labels
        from (select period, predicted_label, count(*) as n from p group by all) group by period),
@@ -193,12 +194,15 @@ _DAY = "select *, strftime(ts, '%Y-%m-%d') as period from"
        select *, row_number() over (partition by period order by seen, template) as rk from (
         select period, template, min((run_ts, ts, id)) as seen from i group by all)) where rk <= 5 group by period),
      tot as (select period, count(*) as total_events from p group by period)
-     select period, total_events, concat_ws(chr(10), '## Daily Infrastructure Summary — ' || period,
-       chr(10) || '### Overall Health', 'Total events processed: ' || total_events,
-       chr(10) || '### Events by Label', labels, chr(10) || '### Top Errors', coalesce(errors, ''),
-       chr(10) || '### Platforms', platforms) as content
-     from tot join lab using (period) join pla using (period) left join err using (period)""",
+     select period, total_events, concat_ws(chr(10), '# Log report ' || period,
+       chr(10) || '## Volume', 'Events: ' || total_events,
+       chr(10) || '## Labels', labels, chr(10) || '## First errors', coalesce(errors, ''),
+       chr(10) || '## By platform', platforms) as content
+     from tot join lab using (period) join pla using (period) left join err using (period)"""
 )
+
+
+@register("markdown_reports", _REPORTS)
 def _markdown(spark, sf_dir):
     return R.markdown_report(daily(spark, sf_dir), "period")
 
@@ -207,16 +211,12 @@ def daily(spark, sf_dir):
     return views.predictions(spark, sf_dir).withColumn("period", F.date_format("ts", "yyyy-MM-dd"))
 
 
-@register(
-    "latest_report",
-    """with d as (select strftime(ts, '%Y-%m-%d') as period, count(*) as n from events group by all)
-     select period, 'Total events processed: ' || n as content from d order by period desc limit 1""",
-)
+@register("latest_report", f"select period, content from ({_REPORTS}) order by period desc limit 1")
 def _latest(spark, sf_dir):
-    reports = views.table(spark, sf_dir, "events").groupBy(
-        F.date_format("ts", "yyyy-MM-dd").alias("period")
-    ).agg(F.concat(F.lit("Total events processed: "), F.count("*")).alias("content"))
-    return R.latest_report(reports)
+    """The latest of the reports that a run has written."""
+    path = fresh_path(spark, "reports")
+    sinks.write_reports(R.markdown_report(daily(spark, sf_dir), "period"), path)
+    return R.latest_report(sinks.read_reports(spark, path))
 
 
 # ------------------------------------------------------------ event-time windows
