@@ -95,6 +95,14 @@ def vectors(seed, n, dim):
     return v.astype(np.float32).astype(np.float64) * rng.uniform(0.5, 2, (n, 1)).astype(np.float32)
 
 
+def product(a, b):
+    """The inner product, added in order (``sum`` compensates its errors)."""
+    total = 0.0
+    for x, y in zip(a.tolist(), b.tolist()):
+        total += x * y
+    return total
+
+
 @pytest.mark.parametrize("dim", [16, 64, 61])
 def test_search_reaches_recall_and_exact_scores(spark, monkeypatch, dim):
     monkeypatch.setattr(onebit, "PART_ROWS", 150)
@@ -109,7 +117,7 @@ def test_search_reaches_recall_and_exact_scores(spark, monkeypatch, dim):
     assert set(got) == set(range(0, 700, 20))
     found = 0
     for q, rows_ in got.items():
-        score = [(sum(float(a) * float(b) for a, b in zip(v[q], v[i])), i) for i in range(700) if i != q]
+        score = [(product(v[q], v[i]), i) for i in range(700) if i != q]
         best = [i for _, i in sorted(score, key=lambda s: (-s[0], s[1]))[:10]]
         found += len(set(best) & {i for _, i, _ in rows_})
         assert [r for r, _, _ in rows_] == list(range(1, 11))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A line that names the holder of a right, and what stands between words.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright |copyright:|\(c\)|©|all rights reserved)[^\n]*"
-BETWEEN_WORDS = r"[^a-z0-9\x{80}-\x{10FFFF}]+|[\x{A0}\x{AB}\x{BB}\x{2000}-\x{206F}\x{3000}-\x{3003}]+"
+BETWEEN_WORDS = r"(?:[^a-z0-9\x{80}-\x{10FFFF}]|[\x{A0}\x{AB}\x{BB}\x{2000}-\x{206F}\x{3000}-\x{3003}])+"
 # Spellings that count as one (pattern, replacement).
 SPELLINGS = [
     ("(licen|offen|defen)ce", "$1se"),
