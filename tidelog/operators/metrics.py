@@ -42,8 +42,8 @@ def per_class(counts: DataFrame, keys: list[str] = []) -> DataFrame:
     )
 
 
-def metrics_rows(pairs: DataFrame, keys: list[str] = [], digits: int = 4) -> DataFrame:
-    """Accuracy, macro F1, weighted F1, F1 of error and of security_noise."""
+def metrics_rows(pairs: DataFrame, keys: list[str] = [], digits: int | None = 4) -> DataFrame:
+    """Accuracy, macro F1, weighted F1, F1 of error and of security_noise; without ``digits`` not rounded."""
     classes = per_class(confusion_counts(pairs, keys), keys)
 
     def f1_of(label: str) -> Column:
@@ -57,6 +57,8 @@ def metrics_rows(pairs: DataFrame, keys: list[str] = [], digits: int = 4) -> Dat
         f1_of("security_noise").alias("f1_security_noise"),
     )
     names = ["accuracy", "macro_f1", "weighted_f1", "f1_error", "f1_security_noise"]
+    if digits is None:
+        return row
     return row.select(*keys, *[round_even(F.col(c), digits).alias(c) for c in names])
 
 
@@ -195,9 +197,11 @@ def confidence_stats(df: DataFrame, confidence: str = "confidence", threshold: f
 
 
 def confidence_histogram(df: DataFrame, bins: int = 40, confidence: str = "confidence") -> DataFrame:
-    """Counts in equal bins from minimum to maximum; the top edge belongs to the last bin."""
+    """Counts in equal bins from minimum to maximum, empty ones too; the top edge belongs to the last bin."""
     edges = df.agg(F.min(confidence).alias("_lo"), F.max(confidence).alias("_hi"))
     c, lo, hi = F.col(confidence), F.col("_lo"), F.col("_hi")
     place = F.floor(_ratio((c - lo) * bins, hi - lo)).cast("int")
     binned = df.filter(c.isNotNull()).join(F.broadcast(edges)).select(F.least(place, F.lit(bins - 1)).alias("bin"))
-    return binned.groupBy("bin").agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    counts = binned.groupBy("bin").agg(F.count("*").alias("n"))
+    return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -231,5 +231,5 @@ def cross_validate(
                 F.lit(name).alias("model"), F.lit(fold).alias("fold"), "y_true", F.col("best").alias("y_pred")
             )
             pairs = part if pairs is None else pairs.unionByName(part)
-    rows = metrics.metrics_rows(pairs, ["model", "fold"], digits=6)
+    rows = metrics.metrics_rows(pairs, ["model", "fold"], digits=None)
     return metrics.crossval_summary(rows.select("model", "fold", "macro_f1"))

@@ -66,17 +66,18 @@ def top_services(events: DataFrame, keys: list[str] = [], n: int = 5) -> DataFra
 def top_errors(events: DataFrame, keys: list[str] = [], n: int = 5) -> DataFrame:
     """Distinct error templates in order of first sight, each with the host and text of its last event."""
     seen = F.struct("run_ts", "ts", "id")
+    host = F.coalesce(*[c for c in ("source", "host") if c in events.columns]).alias("host")
     rows = (
         incidents(events)
         .groupBy(*keys, "template")
         .agg(
             F.min(seen).alias("first_seen"),
-            F.max_by(F.struct("source", "message"), seen).alias("last"),
+            F.max_by(F.struct(host, "message"), seen).alias("last"),
         )
         .select(
             *keys,
             "first_seen",
-            F.coalesce("last.source", F.lit(_UNKNOWN)).alias("host"),
+            F.coalesce("last.host", F.lit(_UNKNOWN)).alias("host"),
             cut(F.col("template"), 150).alias("template"),
             cut(F.coalesce("last.message", F.lit("")), 100).alias("message"),
         )

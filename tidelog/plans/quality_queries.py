@@ -224,15 +224,15 @@ def _latency(spark, sf_dir):
         and y_true = label and y_pred = label) / nullif(
         (select count(*) from f where f.model = lab.model and f.fold = lab.fold and y_true = label)
         + (select count(*) from f where f.model = lab.model and f.fold = lab.fold and y_pred = label), 0), 0) as f1 from lab),
-     m as (select model, fold, round_even(avg(f1), 4) as macro_f1 from c group by all)
+     m as (select model, fold, avg(f1) as macro_f1 from c group by all)
      select model, round_even(avg(macro_f1), 4) as mean, round_even(stddev_pop(macro_f1), 4) as std,
       round_even(avg(macro_f1) - 1.96 * stddev_pop(macro_f1), 4) as ci_low,
       round_even(avg(macro_f1) + 1.96 * stddev_pop(macro_f1), 4) as ci_high,
-      string_agg(macro_f1::varchar, ',' order by fold) as folds from m group by model""",
+      string_agg(round_even(macro_f1, 4)::varchar, ',' order by fold) as folds from m group by model""",
 )
 def _crossval(spark, sf_dir):
     rows = pairs(spark, sf_dir).withColumn("fold", F.col("example_id") % 5)
-    folds = M.metrics_rows(rows, ["model", "fold"]).select("model", "fold", "macro_f1")
+    folds = M.metrics_rows(rows, ["model", "fold"], digits=None).select("model", "fold", "macro_f1")
     return M.crossval_summary(folds).withColumn("folds", F.array_join("folds", ","))
 
 
@@ -261,7 +261,8 @@ def _confidence(spark, sf_dir):
 @register(
     "confidence_histogram",
     f"""with {_DUCK_LABELED}, e as (select min(confidence) as lo, max(confidence) as hi from labeled)
-     select least(floor((confidence - lo) * 40 / (hi - lo))::integer, 39) as bin, count(*) as n from labeled, e group by all""",
+     , b as (select least(floor((confidence - lo) * 40 / (hi - lo))::integer, 39) as bin, count(*) as n from labeled, e group by all)
+     select range::integer as bin, coalesce(n, 0) as n from range(40) left join b on bin = range""",
 )
 def _histogram(spark, sf_dir):
     return M.confidence_histogram(labeled(spark, sf_dir))
