@@ -163,6 +163,11 @@ def _dedupe(spark, sf_dir):
     return _closed(spark, once, "stream-dedupe").select(F.col("id").cast("long").alias("id"), "platform")
 
 
+def _score(batch):
+    templated = batch.withColumn("template", template_of(F.col("message"), views.HOST_PATTERN))
+    return templated.withColumn("risk_score", risk_score(F.col("predicted_label")))
+
+
 @register(
     "stream_scored_events",
     f"""with {Q.LOGS} select id, template, predicted_label, {Q.risk('predicted_label')} as risk_score from (
@@ -173,12 +178,36 @@ def _scored(spark, sf_dir):
     """Collect, score and alert per micro-batch; the label rule of the view stands in for a model."""
     stream = _event_stream(spark, sf_dir).withColumnRenamed("ts", "timestamp")
     doubled = stream.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-
-    def score(batch):
-        return batch.withColumn("template", template_of(F.col("message"), views.HOST_PATTERN)).withColumn(
-            "risk_score", risk_score(F.col("predicted_label"))
-        )
-
     out = fresh_path(spark, "stream-scored")
-    ingest.start_scoring(doubled, score, out, f"{out}/checkpoint").awaitTermination()
+    ingest.start_scoring(doubled, _score, out, f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/predictions").select("id", "template", "predicted_label", "risk_score")
+
+
+@register(
+    "stream_alerts",
+    f"""with {Q.LOGS}, p as (select id, {views.PREDICTED_LABEL.format(type='event_type_raw', id='id')} as predicted_label from logs)
+     select count(*) as n_scored, count(distinct id) as n_ids,
+      count(*) filter (where predicted_label in ('error', 'anomaly')) as n_alerted from p""",
+)
+def _alerts(spark, sf_dir):
+    """Four overlapping pulls, some rows without a time: each id is scored once and each incident is in one alert."""
+    rows = _event_table(spark, sf_dir).withColumn("timestamp", F.when(F.col("id") % 7 != 0, F.col("timestamp")))
+    pulls = rows.withColumn("pull", F.explode(F.array((F.col("id") % 4).cast("int"), ((F.col("id") + 1) % 4).cast("int"))))
+    out = fresh_path(spark, "stream-alerts")
+    pulls.repartition("pull").write.partitionBy("pull").parquet(f"{out}/pulls")
+    schema = spark.read.parquet(f"{out}/pulls").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/pulls").drop("pull")
+    ingest.start_scoring(stream, _score, out, f"{out}/checkpoint").awaitTermination()
+    scored = spark.read.parquet(f"{out}/predictions").agg(F.count("*").alias("n_scored"), F.countDistinct("id").alias("n_ids"))
+    alerted = spark.read.parquet(f"{out}/alerts").agg(F.sum("n").alias("n_alerted"))
+    return scored.crossJoin(alerted)  # one row each
+
+
+def _event_table(spark, sf_dir):
+    """What ``_event_stream`` streams, as a table."""
+    label = F.expr(views.PREDICTED_LABEL.format(type="event_type_raw", id="id"))
+    rows = views.table(spark, sf_dir, "events").selectExpr(*views._text(views.LOG_COLUMNS, "string"))
+    return rows.select(
+        "id", F.col("ts").cast("timestamp").alias("timestamp"), "platform", "source", "message",
+        service_of(F.col("message")).alias("service"), label.alias("predicted_label"),
+    )
