@@ -124,19 +124,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     """(_doc, _text, spans): the spans of words (start, end) to remove from each document that loses any."""
     edges = _edges(docs, window, k)
     seen = edges.groupBy("edge").agg(F.min("_doc").alias("least"), F.max("_doc").alias("most"), F.min("path").alias("p"), F.max("path").alias("q"))
-    several = seen.filter("least < most").select("edge", "least", (F.col("p") != F.col("q")).alias("branches"))
-    places = materialize(edges.join(several, "edge"), "places")
+    # Sums are stored before they are joined back: only then can Spark split the rows of a frequent key in the join. And no
+    # side is broadcast, as none has a bound.
+    several = materialize(seen.filter("least < most").select("edge", "least", (F.col("p") != F.col("q")).alias("branches")), "several")
+    places = materialize(edges.join(several.hint("merge"), "edge"), "places")
     alike = places.filter("not branches and _doc > least").select("_doc", "_text", F.col("low").alias("start"), (F.col("high") + window).alias("end"))
     branching = places.filter("branches")
     paths = branching.groupBy("edge", "path").agg(F.min(F.struct("_doc", "_text", "low", "high")).alias("rep"))
     paths = materialize(paths.select("edge", "path", "rep.*"), "paths")
     wanted = paths.groupBy("_doc", "_text").agg(F.collect_list(F.struct("edge", "path", "low", "high")).alias("places"))
     texts = docs.filter("text is not null").select(*_keys(docs), "text")
-    chosen = texts.join(wanted, ["_doc", "_text"]).dropDuplicates(["_doc", "_text"])
+    chosen = texts.join(wanted.hint("merge"), ["_doc", "_text"]).dropDuplicates(["_doc", "_text"])
     each = materialize(_windows(chosen, window), "windows")
     firsts = each.groupBy("w1", "w2").agg(F.min("_doc").alias("least"), F.max("_doc").alias("most")).filter("least < most").drop("most")
-    again = each.join(firsts, ["w1", "w2"]).filter("_doc > least").groupBy("edge", "path").agg(F.collect_set("at").alias("again"))
-    placed = branching.join(paths.select("edge", "path", F.col("_doc").alias("first")), ["edge", "path"]).join(again, ["edge", "path"], "left")
+    firsts = materialize(firsts, "firsts")
+    again = each.join(firsts.hint("merge"), ["w1", "w2"]).filter("_doc > least").groupBy("edge", "path").agg(F.collect_set("at").alias("again"))
+    firsts_of = paths.select("edge", "path", F.col("_doc").alias("first")).join(again, ["edge", "path"], "left")
+    placed = branching.join(materialize(firsts_of, "firsts-of-paths").hint("merge"), ["edge", "path"])
     whole = placed.filter("_doc > first").select("_doc", "_text", F.col("low").alias("start"), (F.col("high") + window).alias("end"))
     some = placed.filter("_doc = first and again is not null").withColumn("at", F.explode("again"))
     some = some.select("_doc", "_text", (F.col("low") + F.col("at")).alias("start"), (F.col("low") + F.col("at") + window).alias("end"))
@@ -157,7 +161,7 @@ def _merged(name: str):
 
 def _with_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
     spans = materialize(repeated_spans(docs, window, k), "spans")
-    return docs.withColumns(dict(zip(("_doc", "_text"), _keys(docs)))).join(spans, ["_doc", "_text"], "left")
+    return docs.withColumns(dict(zip(("_doc", "_text"), _keys(docs)))).join(spans.hint("merge"), ["_doc", "_text"], "left")
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
