@@ -165,3 +165,20 @@ def test_queries_without_oracle_run(spark, sf_dir, name):
     import tidelog.plans.catalog  # noqa: F401
 
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_context_goes_on_over_micro_batches(spark, tmp_path):
+    """Two files, one after the other: the second file's first events have the first file's last ones before them."""
+    import os
+
+    from tidelog.streaming.context import context_stream
+
+    for n, ids in enumerate(([3, 1, 2], [5, 4, 6, 7])):
+        write(tmp_path / "in" / f"{n}.json", [{"id": i, "ts": f"2024-01-01T00:0{i}:00Z", "k": "a" if i != 4 else "b", "m": f"m{i}"} for i in ids])
+        os.utime(tmp_path / "in" / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema("id int, ts timestamp, k string, m string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = context_stream(stream, "k", "m", n=2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r["id"]: r["context"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: [], 2: ["m1"], 3: ["m1", "m2"], 4: [], 5: ["m2", "m3"], 6: ["m3", "m5"], 7: ["m5", "m6"]}

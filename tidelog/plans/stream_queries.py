@@ -14,6 +14,7 @@ from tidelog.sources import events as E
 from tidelog.sources import labels as LA
 from tidelog.sources import sinks
 from tidelog.streaming import ingest, windows
+from tidelog.streaming.context import context_stream
 
 _NAMES = """names as (select event_id, case event_id % 5
    when 0 then 'events_' || strftime(ts, '%Y%m%dT%H%M%SZ') || '.jsonl' when 1 then 'events_latest.jsonl'
@@ -211,3 +212,16 @@ def _event_table(spark, sf_dir):
         "id", F.col("ts").cast("timestamp").alias("timestamp"), "platform", "source", "message",
         service_of(F.col("message")).alias("service"), label.alias("predicted_label"),
     )
+
+
+@register(
+    "stream_context",
+    f"""with {Q.LOGS}, c as (select id, list(message) over (
+       partition by source order by ts, id rows between 5 preceding and 1 preceding) as ctx from logs)
+     select id, coalesce(array_to_string(ctx, chr(10)), '') as context from c""",
+)
+def _context(spark, sf_dir):
+    """The five messages that the same source logged before, kept as state of the stream."""
+    stream = _event_stream(spark, sf_dir).select("id", "ts", "source", "message")
+    rows = _closed(spark, context_stream(stream, "source", "message"), "stream-context")
+    return rows.select("id", F.array_join("context", "\n").alias("context"))
