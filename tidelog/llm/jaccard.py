@@ -12,7 +12,8 @@ Exact, in four steps, none of which writes a row per pair of a group:
    First every document is compared with one leader per order: the document that comes first under most of its prefix
    n-grams. That joins groups of near copies, whatever their size, with one comparison per member.
    Then all pairs of documents that are still in different components and share a prefix n-gram under every order are
-   compared: the filters of the orders are intersected before the sets are read.
+   compared: the filters of the orders are intersected before the sets are read. N-grams of many documents go through
+   cells of two blocks of them, which let only pairs out whose overlap can reach the threshold.
 4. Components of the links found so far are those of all links, as pairs left out lie inside one component already.
 
 N-gram hashes have 64 bits. The bucket's fingerprints are shorter: equal ones can only let a document through step 2.
@@ -27,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ from tidelog.session import materialize
 
 K, PERCENT = 5, 75
 ORDERS = 3
+# Nodes of one n-gram up to which pairs are joined, and nodes in a block of a cell beyond.
+FEW, CELL, SHARES = 64, 1024, 256
 # N-grams (of the half that is counted) that one bucket holds.
 BUCKET_NGRAMS = 1_000_000
 _NULL = -(1 << 63)
@@ -182,11 +186,15 @@ def _unpacked(marks: bytes) -> np.ndarray:
 
 
 def _prefixes(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, n, p0, p1, ...): the repeated n-grams in the prefix of each node under each order."""
+    """(node, n, own, p0, p1, ..., q0, shares): the repeated n-grams in the prefix of each node under each order, those of
+    the shorter prefix under the first order that serves against nodes of at least its size, how many of its n-grams are
+    its own, and how many repeated ones fall in each of 256 shares of all n-grams."""
     grams = nodes.select("node", F.explode("grams").alias("gram"))
     common = grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     lists = grams.join(common, "gram").groupBy("node").agg(F.collect_list(F.struct("df", "gram")).alias("found"))
-    wanted = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("found"))  # n-grams met only once come first in every order
+    own = F.col("n") - F.size("found")  # n-grams met only once come first in every order
+    wanted = F.floor(F.col("n") * (100 - percent) / 100) + 1 - own
+    fewer = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1 - own
     made = []
     for k in range(ORDERS):
         if k == 0:
@@ -194,7 +202,15 @@ def _prefixes(nodes: DataFrame, percent: int) -> DataFrame:
         else:
             keyed = F.transform("found", lambda e, k=k: F.struct(F.floor(F.log2(e["df"])).alias("r"), F.xxhash64(e["gram"], F.lit(k)).alias("h"), e["gram"].alias("gram")))
         made.append(F.transform(F.slice(F.array_sort(keyed), F.lit(1), F.col("wanted").cast("int")), lambda e: e["gram"]).alias(f"p{k}"))
-    return nodes.select("node", "n").join(lists, "node").withColumn("wanted", wanted).filter("wanted > 0").select("node", "n", *made)
+
+    def counted(column: pd.Series) -> pd.Series:
+        counts = [np.bincount(np.asarray(g, np.int64) & (SHARES - 1), minlength=SHARES) for g in column]
+        return pd.Series([c.astype("u1" if c.max() < 256 else "<u4").tobytes() for c in counts])
+
+    shares = F.pandas_udf(counted, "binary")(F.transform("found", lambda e: e["gram"]))
+    rows = nodes.select("node", "n").join(lists, "node").withColumns({"own": own, "wanted": wanted, "fewer": fewer}).filter("wanted > 0")
+    rows = rows.select("node", "n", "own", "fewer", *made, shares.alias("shares"))
+    return rows.withColumn("q0", F.slice("p0", F.lit(1), F.greatest("fewer", F.lit(0)).cast("int"))).drop("fewer")
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -210,10 +226,76 @@ def _can_link(a: str, b: str, percent: int):
     return (100 * F.least(a, b)) >= percent * F.greatest(a, b)
 
 
+def _across(prefixes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that share a prefix n-gram under the first order and may be similar enough.
+
+    The smaller of a pair is looked up by its short prefix. N-grams with few nodes are joined. Those with many would give
+    pairs by the square, most of which miss the threshold by a little: they are taken together by the first node they have,
+    as texts of one family share many of them, and the nodes of such a cluster are dealt to cells of two blocks. A cell gives
+    only pairs whose overlap, bounded by what each has in 256 shares of all n-grams, can reach the threshold.
+    """
+    plain = prefixes.join(known, "node")
+    rows = plain.select("node", "n", "own", "component", F.explode("p0").alias("gram"))
+    sizes = rows.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min("node").alias("first"))
+    sizes = materialize(sizes.filter("lo < hi").select("gram", "size", "first"), "mixed")
+    index = plain.select("node", "n", "own", "component", F.explode("q0").alias("gram"))
+    few = sizes.filter(F.col("size") <= FEW).select("gram")
+    a, b = (x.join(few, "gram").select(*[F.col(c).alias(f"{c}_{s}") for c in ("gram", "node", "n", "own", "component")]) for x, s in ((index, "a"), (rows, "b")))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+    able = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    joined = a.join(b, (F.col("gram_a") == F.col("gram_b")) & smaller & (F.col("component_a") != F.col("component_b")) & able)
+    joined = joined.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    many = sizes.filter(F.col("size") > FEW).select("gram", "first")
+    members = [materialize(x.select("node", "gram").join(many, "gram").select("first", "node").distinct(), "members") for x in (index, rows)]
+    blocks = members[1].groupBy("first").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    blocks = materialize(blocks, "clusters")
+    wide = plain.select("node", "n", "component", "shares")
+
+    def dealt(of: DataFrame, mine: str, other: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other)
+        named = [F.col(c).alias(c) for c in ("first", "node", "n", "component", "shares")]  # columns of this side alone
+        return of.join(blocks, "first").join(wide, "node").select(*named, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias(mine), every)
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.zeros((0, 2), np.int64)
+        if left.num_rows and right.num_rows:
+            x, y = (np.stack([_counts(v) for v in t["shares"].to_pylist()]) for t in (left, right))
+            most = np.zeros((len(x), len(y)), np.float32)
+            for k in range(1, int(min(x.max(), y.max())) + 1):
+                most += (x >= k).astype(np.float32) @ (y >= k).astype(np.float32).T
+            (i, m, c), (j, n, d) = ([t[name].to_numpy() for name in ("node", "n", "component")] for t in (left, right))
+            able = 100.0 * most >= percent * (m[:, None] + n[None] - most.astype(np.float64))
+            able &= (c[:, None] != d[None]) & ((m[:, None] < n[None]) | ((m[:, None] == n[None]) & (i[:, None] < j[None])))
+            u, v = np.nonzero(able)
+            found = np.stack([i[u], j[v]], 1)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    keys = ("first", "_a", "_b")
+    cells = dealt(members[0], "_a", "_b").groupBy(*keys).cogroup(dealt(members[1], "_b", "_a").groupBy(*keys)).applyInArrow(cell, "a bigint, b bigint")
+    return joined.union(cells).distinct()
+
+
+def _counts(shares: bytes) -> np.ndarray:
+    return np.frombuffer(shares, "u1" if len(shares) == SHARES else "<u4").astype(np.uint32)
+
+
 def linked_groups(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) for ``nodes`` (node bigint, n, grams array<bigint>), stored and with distinct sets."""
     spark = nodes.sparkSession
     prefixes = materialize(_prefixes(nodes, percent), "prefixes")
+
+    def joined(pairs: DataFrame, links: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and components with those of ``pairs`` that are similar enough."""
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            return links, known
+        more = materialize(_linked(pairs, nodes, percent), "links")
+        if more.isEmpty():
+            return links, known
+        links = links.union(more)
+        return links, materialize(components(prefixes.select("node"), links), "components")
+
     known = prefixes.select("node", F.col("node").alias("component"))
     links = spark.createDataFrame([], "a bigint, b bigint")
     for k in range(ORDERS):
@@ -222,21 +304,17 @@ def linked_groups(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
         near = rows.join(first, "gram").filter((F.col("component") != F.col("lead.component")) & _can_link("n", "lead.n", percent))
         leaders = near.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count("*").alias("shared"))
         pairs = leaders.groupBy("node").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
-        links = materialize(links.union(_linked(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")), nodes, percent)), "pairs")
-        known = materialize(components(prefixes.select("node"), links), "components")
-    rows = prefixes.select("node", "n", F.explode("p0").alias("gram")).join(known, "node")
-    mixed = rows.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram")
-    left = rows.join(mixed, "gram")
-    a, b = (left.select(*[F.col(c).alias(f"{c}_{s}") for c in ("gram", "node", "n", "component")]) for s in "ab")
-    apart = (F.col("gram_a") == F.col("gram_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-    pairs = a.join(b, apart & _can_link("n_a", "n_b", percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        links, known = joined(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")), links, known)
+    pairs = materialize(_across(prefixes, known, percent), "across")
+    if pairs.isEmpty():
+        return nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     others = [f"p{k}" for k in range(1, ORDERS)]
     for side in "ab":
         pairs = pairs.join(prefixes.select(F.col("node").alias(side), *[F.col(p).alias(f"{p}{side}") for p in others]), side)
     for p in others:
         pairs = pairs.filter(F.arrays_overlap(f"{p}a", f"{p}b"))
-    links = materialize(links.union(_linked(pairs.select("a", "b"), nodes, percent)), "pairs")
-    return components(nodes.select("node"), links)
+    _, known = joined(pairs.select("a", "b"), links, known)
+    return nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
