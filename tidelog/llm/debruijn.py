@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import words
+from tidelog.llm.memory import released
 from tidelog.session import materialize
 
 WINDOW, K = 50, 12
@@ -92,7 +93,7 @@ def _edges(docs: DataFrame, window: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=kinds)
 
     schema = "edge bigint, path bigint, _doc bigint, _text bigint, low bigint, high bigint"
-    return docs.filter("text is not null").select(*_keys(docs), "text").mapInArrow(cut, schema)
+    return docs.filter("text is not null").select(*_keys(docs), "text").mapInArrow(released(cut), schema)
 
 
 def _windows(chosen: DataFrame, window: int) -> DataFrame:
@@ -117,7 +118,7 @@ def _windows(chosen: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, kinds)], schema=kinds)
 
     schema = "edge bigint, path bigint, at int, w1 bigint, w2 bigint, _doc bigint"
-    return chosen.select("_doc", "text", "places").mapInArrow(cut, schema)
+    return chosen.select("_doc", "text", "places").mapInArrow(released(cut), schema)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -180,7 +181,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, kinds)], schema=kinds)
 
     rows = _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), window, k)
-    return rows.select("doc_id", "text", "spans").mapInArrow(digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return rows.select("doc_id", "text", "spans").mapInArrow(released(digest), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def _words(text: str) -> list[bytes]:

@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import words
+from tidelog.llm.memory import released
 
 WINDOW = 10
 # Words of test phrases sent to the tasks at once (about 100 bytes each), and words of one shard.
-BLOCK_WORDS, SHARD_WORDS = 500_000, 600_000
+BLOCK_WORDS, SHARD_WORDS = 500_000, 250_000
 SAMPLE = 8
 ADDED = ["n_words", "spans", "item_ids"]
 
@@ -263,7 +264,7 @@ def _pass(docs: DataFrame, sent) -> DataFrame:
                 }
                 yield pa.RecordBatch.from_arrays([made.get(f.name, part.column(i)) for i, f in enumerate(part.schema)], schema=part.schema)
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(released(scan), docs.schema)
 
 
 def hit_counts(found: DataFrame) -> list:

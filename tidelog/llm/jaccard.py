@@ -35,13 +35,15 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import words
 from tidelog.llm.components import components
+from tidelog.llm.memory import released
 from tidelog.session import materialize
 
 K, PERCENT = 5, 75
 ORDERS = 3
 # Nodes of one n-gram up to which pairs are joined, and nodes in a block of a cell beyond.
 FEW, CELL, SHARES = 64, 1024, 256
-# N-grams (of the half that is counted) that one bucket holds.
+# Characters of a chunk of documents, and n-grams (of the half that is counted) that one bucket holds.
+CHUNK_CHARS = 4_000_000
 BUCKET_NGRAMS = 1_000_000
 _NULL = -(1 << 63)
 
@@ -79,7 +81,7 @@ def classes(docs: DataFrame, k: int = K) -> DataFrame:
             found = sets(batch.column(1).to_pylist(), k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array(map(_class, found), pa.binary())], schema=kinds)
 
-    return _keyed(docs).mapInArrow(sized, "doc_id bigint, text_hash bigint, n bigint, cls binary")
+    return _keyed(docs).mapInArrow(released(sized), "doc_id bigint, text_hash bigint, n bigint, cls binary")
 
 
 def repeated_documents(docs: DataFrame, n_ngrams: int, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -98,7 +100,7 @@ def repeated_documents(docs: DataFrame, n_ngrams: int, k: int = K, percent: int
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in words.chunks(texts):
+            for a, b in words.chunks(texts, CHUNK_CHARS):
                 found = sets(texts[a:b], k)
                 half = [s[s & np.uint64(1) == 0] for s in found]
                 n_half = np.array([len(s) for s in half], np.int64)
@@ -169,18 +171,22 @@ def repeated_documents(docs: DataFrame, n_ngrams: int, k: int = K, percent: int
         keep = np.flatnonzero(spare >= 0).tolist()
         return pa.table({"doc_id": pa.array([head["doc_id"][i] for i in keep], pa.int64()), "cls": pa.array([head["cls"][i] for i in keep], pa.binary())})
 
-    dealt = _keyed(docs).mapInArrow(deal, sent)
+    dealt = _keyed(docs).mapInArrow(released(deal), sent)
     counted = dealt.groupBy("bucket").applyInArrow(count, back)
     return counted.groupBy("chunk").applyInArrow(judge, "doc_id bigint, cls binary")
 
 
 def _packed(owner: np.ndarray, n: int) -> bytes:
-    """Owners in ascending order, as a count for each."""
+    """Owners in ascending order: as they are if they are few, else as a count for each."""
+    if 4 * len(owner) <= n:
+        return b"\0" + owner.astype("<u4").tobytes()
     counts = np.bincount(owner, minlength=n)
     return (b"\1" + counts.astype("u1").tobytes()) if counts.max(initial=0) < 256 else (b"\4" + counts.astype("<u4").tobytes())
 
 
 def _unpacked(marks: bytes) -> np.ndarray:
+    if marks[0] == 0:
+        return np.frombuffer(marks, "<u4", offset=1).astype(np.int64)
     counts = np.frombuffer(marks, "u1" if marks[0] == 1 else "<u4", offset=1)
     return np.repeat(np.arange(len(counts)), counts)
 
@@ -337,7 +343,7 @@ def groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
                 )
 
     chosen = _keyed(docs).join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    found = chosen.mapInArrow(gather, "cls binary, n bigint, grams array<bigint>")
+    found = chosen.mapInArrow(released(gather), "cls binary, n bigint, grams array<bigint>")
     # A document id that repeats brings other texts along: they are kept if wanted, once for each class.
     found = found.join(wanted.select("cls", "rep", "least"), "cls").dropDuplicates(["cls"])
     nodes = materialize(found.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -347,7 +353,8 @@ def groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     linked = named.join(names, "component").select("cls", "component_id")
     labelled = firsts.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
     real = F.when(F.col("doc_id") != _NULL, F.col("doc_id"))
-    joined = rows.join(labelled, "cls", "left")
+    # Stored first, so that Spark can split the rows of a class with very many copies.
+    joined = rows.join(materialize(labelled, "labelled").hint("merge"), "cls", "left")
     return joined.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real).alias("component_id"), "text_hash")
 
 

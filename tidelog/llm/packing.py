@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.memory import released
 from tidelog.llm.tokens import Encoder, tokenizer_path
 from tidelog.session import materialize
 
@@ -42,7 +43,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         for batch in batches:
             out = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_each(texts)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 start = 0
                 for k in range(-(-len(ids) // capacity)):
@@ -54,7 +55,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(cut), schema)
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:

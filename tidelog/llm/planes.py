@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.memory import released
 from tidelog.llm.tokens import Encoder, tokenizer_path
 
 BLOCK_IDS = 1 << 16
@@ -86,7 +87,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         for batch in batches:
             done = []
             texts = batch.column(1).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_each(texts)):
                 ids = np.append(ids, np.uint32(end_id))
                 skip = 0
                 while skip < len(ids):
@@ -104,7 +105,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if size:
             yield pa.RecordBatch.from_pylist([row()], _arrow_blocks())
 
-    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(released(blocks), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     sizes = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("part", "block", "first", "n_ids")
     sizes.join(_part_starts(sizes), "part").select(
         "part", "block", "n_ids", (F.col("part_start") + F.col("first")).alias("start")
@@ -147,7 +148,7 @@ def read_pieces(spark: SparkSession, path: str, digest: bool = False) -> DataFra
 
     last = "crc32 bigint" if digest else "ids array<bigint>"
     schema = f"part int, doc_no bigint, doc_id bigint, start_in_part bigint, skip bigint, n_ids bigint, {last}"
-    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(decode, schema)
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(released(decode), schema)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -9,14 +9,16 @@ Latin Extended-B go to the tokenizer whole. Both ways give the ids of ``Tokenize
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 # Pieces a worker keeps (about 45 bytes each); a full store is emptied and filled anew.
-CACHED_PIECES = 1_500_000
+CACHED_PIECES = 600_000
 # Characters cut at once: bounds the arrays of a batch.
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 500_000
 
 _SEPARATOR = "￿"
 _LETTER, _NUMBER, _OTHER, _SPACE, _WHITE, _END, _HARD = range(7)
@@ -83,16 +85,18 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids (uint32) of each text, in order."""
-        out: list[np.ndarray] = []
+        return list(self.encode_each(texts))
+
+    def encode_each(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The same one by one: a task holds the ids of no more than one batch of characters."""
         at = 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end]) < BATCH_CHARS):
                 size += len(texts[end])
                 end += 1
-            out += self._encode(texts[at:end])
+            yield from self._encode(texts[at:end])
             at = end
-        return out
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)

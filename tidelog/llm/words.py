@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 # Bytes hashed at once: bounds the arrays of a chunk (about 60 bytes for each).
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RUN_BASE = 0xC2B2AE3D27D4EB4F | 1
 _VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
