@@ -153,4 +153,4 @@ def op7_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_kneser_ney")
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return kneserney.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+    return kneserney.classify(docs, table(spark, sf_dir, "labels"), with_text=False)
