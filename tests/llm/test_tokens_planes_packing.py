@@ -29,6 +29,30 @@ def test_encoder_equals_tokenizer():
             assert ids.tolist() == plain(text)
 
 
+def test_ids_are_those_of_a_fresh_tokenizer():
+    """Also of texts with an added token; the encoder's own tokenizer is not asked."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    end = fresh.token_to_id("<|endoftext|>")
+    texts = ["a <|endoftext|> b", "plain words", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n it's", "<|endoftext |>", "", "a \uffff<|endoftext|>", "中 <|endoftext|>"]
+    found = Encoder(tokenizer_path()).encode_batch(texts)
+    assert [ids.tolist() for ids in found] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert end in found[0].tolist() and found[3].tolist().count(end) == 2
+    assert end not in Encoder(tokenizer_path(), literal=True).encode_batch(texts[:1])[0].tolist()
+
+
+def test_pieces_of_different_texts_make_no_added_token(tmp_path):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(tokenizer_path())
+    made.add_tokens(["one two"])
+    made.save(str(tmp_path / "more.json"))
+    texts = [" one", " two", " three one two", " two one"]
+    found = Encoder(str(tmp_path / "more.json")).encode_batch(texts)
+    assert [ids.tolist() for ids in found] == [made.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_encoder_store_may_be_emptied(monkeypatch):
     monkeypatch.setattr("tidelog.llm.tokens.CACHED_PIECES", 3)
     encoder = Encoder(tokenizer_path())

@@ -84,7 +84,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     span = budget * BLOCK_BUDGETS
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder.of(file)
+        encoder = Encoder.of(file, literal=True)
         for batch in batches:
             made = [format_turn(r, t) for r, t in zip(batch["role"], batch["text"])]
             batch["formatted"], batch["body"], batch["body_end"] = zip(*made) if made else ([], [], [])

@@ -4,7 +4,8 @@ A byte-level BPE first cuts a text into pieces (a run of letters, digits or othe
 space before it, or white space) and encodes every piece by itself. Pieces repeat, so a batch of texts is
 cut at once on arrays of characters, equal pieces are found by two 64-bit hashes, and only pieces that the
 worker has not met yet reach the tokenizer. Texts with an apostrophe (contractions) or characters past
-Latin Extended-B go to the tokenizer whole. Both ways give the ids of ``Tokenizer.encode``.
+Latin Extended-B go to the tokenizer whole, and so do texts with the content of a token added to the
+tokenizer, which is one id wherever it stands. Both ways give the ids of ``Tokenizer.encode``.
 """
 
 from __future__ import annotations
@@ -60,22 +61,24 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes batches of texts; one per worker process and tokenizer file."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, bool], Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, literal: bool = False) -> Encoder:
+        if (path, literal) not in cls._made:
+            cls._made[path, literal] = cls(path, literal)
+        return cls._made[path, literal]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
+        """With ``literal``, special tokens are not looked for in texts: what users write stays text."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.kinds = _kinds()
         random = np.random.default_rng(20240101)
         self.tables = [random.integers(0, 1 << 63, 0x10000, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
@@ -101,8 +104,14 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _has_added(self, text: str) -> bool:
+        return any(content in text for content in self.added)
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         joined = _SEPARATOR.join(texts) + _SEPARATOR
+        if self._has_added(joined) and any(whole := [self._has_added(t) for t in texts]):
+            some = iter(self._encode([t for t, w in zip(texts, whole) if not w]) if not all(whole) else [])
+            return [self._whole(t) if w else next(some) for t, w in zip(texts, whole)]
         chars = np.frombuffer(joined.encode("utf-16-le", "surrogatepass"), np.uint16)
         kinds = self.kinds[chars]
         hard = np.flatnonzero(kinds == _HARD)
@@ -191,6 +200,8 @@ class Encoder:
         order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
         shared = [pieces[i] for i in order[: len(pieces) - alone.sum()].tolist()]
         lines = [shared[i : i + 200] for i in range(0, len(shared), 200)]
+        # Pieces of different texts do not make an added token together.
+        lines = [part for line in lines for part in ([[p] for p in line] if self._has_added("".join(line)) else [line])]
         ids, counts = [], []
         for line, found in zip(lines, self.tokenizer.encode_batch(["".join(x) for x in lines], add_special_tokens=False)):
             ids.append(np.array(found.ids, np.uint32))
