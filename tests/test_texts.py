@@ -106,3 +106,12 @@ def test_failed_calls_keep_their_row(spark):
     rows = {r["prompt"]: r for r in inference.call_model(df, call).collect()}
     assert rows["good"]["raw"] == "noise" and rows["bad"]["raw"] is None and rows["bad"]["seconds"] >= 0
     assert inference.call_model(df, call, limit=1).count() == 1
+
+
+def test_registered_vectors_have_the_default_size(spark, sf_dir):
+    from tidelog.plans.catalog import QUERIES
+
+    row = QUERIES["chunk_vectors"](spark, sf_dir).first()
+    assert row["dim"] == 384 and len(row["vector"]) == 384 and abs(sum(x * x for x in row["vector"]) - 1) < 1e-4
+    rows = QUERIES["explain_top_incidents"](spark, sf_dir).collect()
+    assert rows and all(len(set(r["chunk_ids"])) == r["n_chunks"] > 0 for r in rows)

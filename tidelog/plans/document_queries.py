@@ -14,7 +14,7 @@ from tidelog.plans import oracle_text as Q
 from tidelog.plans import views
 from tidelog.plans.incident_queries import windowed
 from tidelog.plans.registry import register
-
+from tidelog.session import materialize
 
 
 def pages(spark, sf_dir):
@@ -67,8 +67,8 @@ def _page_chunks(spark, sf_dir):
 
 @register("chunk_vectors")
 def _vectors(spark, sf_dir):
-    rows = D.hashed_vectors(chunks(spark, sf_dir), dim=64)
-    return rows.select("doc_id", "chunk_id", F.size("vector").alias("dim"), F.bround(F.array_max("vector"), 4).alias("top"))
+    rows = D.hashed_vectors(chunks(spark, sf_dir))
+    return rows.select("doc_id", "chunk_id", F.size("vector").alias("dim"), F.bround(F.array_max("vector"), 4).alias("top"), "vector")
 
 
 _COSINE = "list_cosine_similarity(q.v, e.v)"
@@ -167,10 +167,12 @@ def _explain_incidents(spark, sf_dir):
     """Top three incidents by risk against chunks of all documents, with hashed vectors."""
     unique = I.last_per_template(selection.incidents(views.predictions(spark, sf_dir)))
     top = I.top_by_risk(unique, 3).select(F.col("id").alias("query_id"), F.col("template").alias("text"))
-    passages = D.hashed_vectors(chunks(spark, sf_dir).withColumn("id", F.xxhash64("doc_id", "chunk_id")), dim=64)
-    hits = R.top_passages(D.hashed_vectors(top, dim=64).select("query_id", "vector"), passages)
+    passages = D.hashed_vectors(chunks(spark, sf_dir).withColumn("id", F.xxhash64("doc_id", "chunk_id")))
+    hits = R.top_passages(D.hashed_vectors(top).select("query_id", "vector"), passages)
+    hits = materialize(hits, "hits")
     rows = R.explanations(top.withColumnRenamed("text", "anomaly"), R.with_payload(hits, passages))
-    return rows.select("query_id", "anomaly", "prompt", F.size("chunks").alias("n_chunks"))
+    found = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda h: h["id"]).alias("chunk_ids"))  # k per query
+    return rows.join(found, "query_id", "left").select("query_id", "anomaly", "prompt", F.size("chunks").alias("n_chunks"), "chunk_ids")
 
 
 _HREFS = """unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href"""
