@@ -1,4 +1,6 @@
-"""The texts of short public licences, without their copyright lines."""
+"""The texts of public licences, short ones without their copyright lines."""
+
+from tidelog.llm.full_license_texts import FULL_TEXTS
 
 _NO_WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
@@ -74,3 +76,4 @@ TEXTS = {
     "GPL-3.0 (line)": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 (line)": "Licensed under CC BY-NC 4.0.",
 }
+TEXTS |= FULL_TEXTS
