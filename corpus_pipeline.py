@@ -44,8 +44,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place in it."""
-    return packing.pack_documents(docs)
+    """Pieces of documents with their ids, their sequence and place in it."""
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES = [
