@@ -17,11 +17,11 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert compare(spark, connect(sf_dir), sf_dir, name, QUERIES[name], ORACLES[name])[2] == "ok"
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_thirteen_queries_and_the_pipeline_are_registered():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} and len(QUERIES) == 10
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} and len(QUERIES) == 13
     assert set(QUERIES) | {"pipeline"} <= set(names)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, debruijn, fmindex, jaccard, kneserney, license_texts, licenses, onebit, packing, planes, revisits
+from tidelog.llm import alignment, chat, debruijn, equal_average, fmindex, jaccard, kneserney, license_texts, licenses, onebit, packing, planes, revisits, secret_scan
 from tidelog.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,52 @@ def op7_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return kneserney.classify(docs, table(spark, sf_dir, "labels"), with_text=False)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignment and update of the codebooks, ``rounds`` times, then the last assignment."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+    near{k} as (
+      select vec_id, label, p, x, e, d from (
+        select s.*, c.e, list_sum(list_transform(list_zip(s.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d
+        from pieces s join books{k} c using (p))
+      qualify row_number() over (partition by vec_id, p order by d, e) = 1)""")
+        if k < rounds:
+            steps.append(f"""
+    sums{k} as (
+      select p, e, i, sum(x[i]) as s, count(*) as n from (select p, e, x, unnest(range(1, len(x) + 1)) as i from near{k}) group by all),
+    means{k} as (select p, e, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as c from sums{k} group by all),
+    books{k + 1} as (select p, e, coalesce(m.c, b.c) as c from books{k} b left join means{k} m using (p, e))""")
+    return ",".join(steps)
+
+
+@register(
+    "op11_equal_average",
+    f"""
+    with kept as (
+      select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    pieces as (select vec_id, label, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] as x from kept, range(16) r(p)),
+    books0 as (
+      select p, row_number() over (partition by p order by vec_id) - 1 as e, x as c from pieces
+      where vec_id in (select vec_id from kept order by vec_id limit 64)),{_rounds_sql(2)},
+    coded as (
+      select vec_id, label, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from near2 group by vec_id, label)
+    select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+      (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) from books2) as codebooks_sha256
+    from coded""",
+)
+def op11_equal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return equal_average.compress(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_structural_secrets")
+def op12_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@register("op13_diagonal_alignment")
+def op13_diagonal_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
