@@ -303,7 +303,7 @@ def alignment_texts():
     return [*made, None, "", " ", "  ", "a▁b", "▁", "\x00", "￿ a", "a " * 400, "\n \n", "word " * 3 + "  ", "同じ" * 200]
 
 
-def test_alignment_equals_sets_of_ends(spark, monkeypatch):
+def test_alignment_equals_sets_of_ends(spark):
     texts = alignment_texts()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, pairs string").repartition(3)
     got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in alignment.align_documents(docs).collect()}
@@ -322,13 +322,17 @@ def test_registered_alignment_equals_sets_of_ends(spark, sf_dir):
         assert tuple(got[r["doc_id"]][c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")) == (*want[:4], want[6])
 
 
-def test_chunks_and_caches_do_not_change_the_result(spark):
+def test_chunks_and_caches_do_not_change_the_result(spark, monkeypatch):
     texts = alignment_texts()
     rows = [(i, t) for i, t in enumerate(texts)]
     pair = alignment.Pair(*(alignment.tokenizer_path(f) for f in (alignment.TOKENIZER_A, alignment.TOKENIZER_B)))
     whole = alignment.Pair(*(alignment.tokenizer_path(f) for f in (alignment.TOKENIZER_A, alignment.TOKENIZER_B)))
     whole.by_segment = False
-    assert pair.by_segment and pair.encode(texts) == whole.encode(texts) == pair.encode(texts)
+    shown = lambda rows: [r and (r.n_a, r.n_b, r.n_groups, r.codes.tolist(), r.groups) for r in rows]
+    first, again = shown(pair.align_texts(texts)), shown(pair.align_texts(texts))
+    assert pair.by_segment and first == again == shown(whole.align_texts(texts))
+    monkeypatch.setattr(alignment, "CACHED_SEGMENTS", 10)
+    assert [shown(pair.align_texts([t]))[0] for t in texts] == first
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     one = sorted(map(tuple, alignment.align_documents(docs.coalesce(1)).collect()))
     assert one == sorted(map(tuple, alignment.align_documents(docs.repartition(40)).collect()))

@@ -9,8 +9,8 @@ The irregular group behind it is resolved locally: the side that is behind takes
 the shift is updated and probing goes on.
 
 Tokens of a text are put together from those of its segments, cut before a single space between two other characters: neither
-tokenizer has a token over such a place (checked for B's vocabulary when it is loaded), so a worker encodes each distinct
-segment once. The ids are those of whole texts.
+tokenizer has a token over such a place (checked for B's vocabulary when it is loaded), so it ends a group, and a worker encodes
+and aligns each distinct segment once, all new ones of a batch in one run. Ids and groups are those of whole texts.
 
 Corpus-wide counts: documents are dealt into chunks of bounded text as they are read; a chunk's row holds its distinct id pairs
 with the number of its documents that hold them, a document's row its distinct pairs and how often they occur. Pairs are
@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,14 @@ from tidelog.session import materialize
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Characters of the documents of a chunk (one document at least).
 CHUNK_CHARS = 4_000_000
-# Segments a worker keeps, and the longest that it keeps; a full store is emptied and filled anew.
-CACHED_SEGMENTS, CACHED_CHARS = 400_000, 64
+# Segments, and characters of them, that a worker keeps: a fuller store is emptied and filled anew.
+CACHED_SEGMENTS, CACHED_CHARS = 400_000, 16_000_000
+# Segments encoded in one call.
+LINE_SEGMENTS = 500
 
 _CUT = re.compile(r"(?<=\S)(?=\x20\S)")
+# Segments that may stand next to each other in one call: both edges are such places.
+_PLAIN = re.compile(r"\x20\S(?s:.*\S)?\Z")
 _MARK = "▁"
 
 
@@ -105,8 +110,19 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[int, int, int]]:
     return made
 
 
+@dataclass
+class Aligned:
+    """A text's tokens: how many of A and B, the code a * size_b + b of every link in order, and its groups as text."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    codes: np.ndarray
+    groups: str
+
+
 class Pair:
-    """Both tokenizers, with the tokens of segments met; one per worker process and pair of files."""
+    """Both tokenizers, with the aligned tokens of segments met; one per worker process and pair of files."""
 
     _made: dict[tuple[str, str], Pair] = {}
 
@@ -130,8 +146,8 @@ class Pair:
             self.bytes_a[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.sizes_a = np.array([len(x) for x in self.bytes_a], np.int32)
-        self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int32)
+        self.sizes_a = np.array([len(x) for x in self.bytes_a], np.int64)
+        self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.mark = self.b.piece_to_id(_MARK)
         # Segments are independent where no piece of B goes on past a marker.
         self.by_segment = not any(_MARK in p.lstrip(_MARK) for p in pieces)
@@ -140,86 +156,138 @@ class Pair:
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
-
-    def _learn(self, segments: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """The ids of segments that begin with a space, by both; None where joined tokens are not the segment."""
-        found_a = self.a.encode_batch(segments, add_special_tokens=False)
-        found_b = self.b.encode([s[1:] for s in segments], num_threads=1)
-        out = []
-        for s, x, ids_b in zip(segments, found_a, found_b):
-            ids_a = x.ids
-            ids_b = ids_b or [self.mark]
-            whole = s.encode("utf-8", "surrogatepass")
-            same = b"".join([self.bytes_a[i] for i in ids_a]) == whole and b"".join([self.bytes_b[i] for i in ids_b]) == whole
-            out.append((ids_a, ids_b) if same else None)
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]] | None]:
-        """The ids of each text by A and B; None for texts without tokens."""
+        """An empty store: a segment's number, by number its group text and counts, and where its link codes lie."""
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.groups: list[str] = []
+        self.counts = np.zeros((4, 0), np.int64)  # tokens of A, of B, groups, first link code
+        self.codes = np.zeros(0, np.int64)
+
+    def _ids(self, line: list[str]) -> tuple[list[int], list[int], np.ndarray, np.ndarray] | None:
+        """Ids of segments in a row by A and B, and by segment the places after its tokens; None where the joined tokens are
+        not the segments."""
+        text = "".join(line)
+        ids_a = self.a.encode(text, add_special_tokens=False).ids
+        ids_b = self.b.encode(text[1:], num_threads=1) or [self.mark]
+        whole = text.encode("utf-8", "surrogatepass")
+        if b"".join([self.bytes_a[i] for i in ids_a]) != whole or b"".join([self.bytes_b[i] for i in ids_b]) != whole:
+            return None
+        ends = np.cumsum([len(s.encode("utf-8", "surrogatepass")) for s in line])
+        places = []
+        for ids, sizes in ((ids_a, self.sizes_a), (ids_b, self.sizes_b)):
+            token_ends = np.cumsum(sizes[ids])
+            place = np.searchsorted(token_ends, ends)
+            if (token_ends[place] != ends).any():
+                return None
+            places.append(place + 1)
+        return ids_a, ids_b, *places
+
+    def _learn(self, segments: list[str], keep: bool = True) -> None:
+        """Aligns segments that are not in the store and adds them; number -1 marks those without tokens."""
+        plain = [s for s in segments if _PLAIN.match(s)]
+        lines = [plain[i : i + LINE_SEGMENTS] for i in range(0, len(plain), LINE_SEGMENTS)]
+        lines += [[s] for s in segments if not _PLAIN.match(s)]
+        flat_a: list[int] = []
+        flat_b: list[int] = []
+        after_a, after_b, order = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], []
+        while lines:
+            line = lines.pop()
+            found = self._ids(line)
+            if found is None:
+                if len(line) > 1:
+                    lines += [[s] for s in line]
+                else:
+                    self.known[line[0]] = -1
+                continue
+            after_a.append(found[2] + len(flat_a))
+            after_b.append(found[3] + len(flat_b))
+            flat_a += found[0]
+            flat_b += found[1]
+            order += line
+        if not order:
+            return
+        # Segments end in both token rows, so one pass over all of them aligns each.
+        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+        groups, links = self._groups(flat_a, flat_b, np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b]))
+        after_a, after_b = np.concatenate(after_a), np.concatenate(after_b)
+        group_a = np.array([i for _, i, _ in groups], np.int64)  # places in A after each group
+        after_group, after_link = np.searchsorted(group_a, after_a[1:]) + 1, np.array([n for _, _, n in groups], np.int64)
+        texts = [g for g, _, _ in groups]
+        first = len(self.groups)
+        begin = 0
+        for end in after_group.tolist():
+            self.groups.append(";".join(texts[begin:end]))
+            begin = end
+        self.known.update(zip(order, range(first, first + len(order))))
+        self.chars += sum(map(len, order))
+        last_link = after_link[after_group - 1]
+        first_link = len(self.codes) + np.concatenate([[0], last_link[:-1]])
+        rows = np.stack([np.diff(after_a), np.diff(after_b), np.diff(after_group, prepend=0), first_link])
+        self.counts = np.concatenate([self.counts, rows], axis=1)
+        self.codes = np.concatenate([self.codes, ids_a[links[0]] * self.size_b + ids_b[links[1]]])
+
+    def _groups(self, ids_a: list[int], ids_b: list[int], ends_a: np.ndarray, ends_b: np.ndarray):
+        """(text, place in A after it, links up to its end) of each group, and the links as places in A and in B."""
+        runs = align(ends_a, ends_b)
+        runs.append((len(ids_a), len(ids_b), 0))
+        list_a, list_b = ends_a.tolist(), ends_b.tolist()
+        names_a, names_b = self.names_a, self.names_b
+        groups: list[tuple[str, int, int]] = []
+        link_a: list[int] = []
+        link_b: list[int] = []
+        for (i, j, n), (next_i, next_j, _) in zip(runs, runs[1:]):
+            if n > 0:
+                links = len(link_a)
+                link_a += range(i, i + n)
+                link_b += range(j, j + n)
+                for k in range(n):
+                    groups.append((f"{names_a[ids_a[i + k]]}|{names_b[ids_b[j + k]]}", i + k + 1, links + k + 1))
+                continue
+            text = f"{','.join([names_a[x] for x in ids_a[i:next_i]])}|{','.join([names_b[x] for x in ids_b[j:next_j]])}"
+            # Inside a group no ends meet: the token that ends first gives way to its next one.
+            while True:
+                link_a.append(i)
+                link_b.append(j)
+                if list_a[i] < list_b[j]:
+                    i += 1
+                elif list_a[i] > list_b[j]:
+                    j += 1
+                else:
+                    break
+            groups.append((text, next_i, len(link_a)))
+        return groups, (link_a, link_b)
+
+    def align_texts(self, texts: list[str | None]) -> list[Aligned | None]:
+        """The aligned tokens of each text; None for texts without tokens."""
         cut = [_CUT.split(" " + t) if self.by_segment else [" " + t] for t in map(lambda t: t or "", texts)]
-        new = {s for segments in cut for s in segments if s not in self.known}
-        new.discard(" ")
-        if len(self.known) + len(new) > CACHED_SEGMENTS:
+        if len(self.known) > CACHED_SEGMENTS or self.chars > CACHED_CHARS:
             self._empty()
-            new = {s for segments in cut for s in segments} - {" "}
-        order = list(new)
-        met = dict(zip(order, self._learn(order)))
-        out: list[tuple[list[int], list[int]] | None] = []
+        self._learn(list({s for segments in cut for s in segments if s not in self.known}))
         known = self.known
-        for t, segments in zip(texts, cut):
-            ids_a: list[int] = []
-            ids_b: list[int] = []
-            fine = bool(t)
-            for s in segments if fine else ():
-                found = known.get(s) or met[s]
-                if found is None:
-                    fine = False
-                    break
-                ids_a += found[0]
-                ids_b += found[1]
-            if not fine and t and len(segments) > 1:
-                whole = self._learn([" " + t])[0]
-                out.append(whole)
-            else:
-                out.append((ids_a, ids_b) if fine else None)
-        known.update((s, x) for s, x in met.items() if x is not None and len(s) <= CACHED_CHARS)
-        return out
-
-
-def document(pair: Pair, ids_a: list[int], ids_b: list[int]) -> tuple[int, np.ndarray, str]:
-    """(number of groups, code a * size_b + b of every link in order, digest of the groups) of one text's tokens."""
-    np_a, np_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-    ends_a, ends_b = np.cumsum(pair.sizes_a[np_a]), np.cumsum(pair.sizes_b[np_b])
-    runs = align(ends_a, ends_b)
-    runs.append((len(ids_a), len(ids_b), 0))
-    list_a, list_b = ends_a.tolist(), ends_b.tolist()
-    name_a, name_b = [pair.names_a[i] for i in ids_a], [pair.names_b[i] for i in ids_b]
-    groups: list[str] = []
-    link_a: list[int] = []
-    link_b: list[int] = []
-    for (i, j, n), (next_i, next_j, _) in zip(runs, runs[1:]):
-        if n > 0:
-            groups += map("|".join, zip(name_a[i : i + n], name_b[j : j + n]))
-            link_a += range(i, i + n)
-            link_b += range(j, j + n)
-            continue
-        groups.append(f"{','.join(name_a[i:next_i])}|{','.join(name_b[j:next_j])}")
-        # Inside a group no ends meet: the token that ends first gives way to its next one.
-        while True:
-            link_a.append(i)
-            link_b.append(j)
-            if list_a[i] < list_b[j]:
-                i += 1
-            elif list_a[i] > list_b[j]:
-                j += 1
-            else:
-                break
-    codes = np_a[link_a] * pair.size_b + np_b[link_b]
-    return len(groups), codes, hashlib.sha256(";".join(groups).encode()).hexdigest()
+        numbers = [[known[s] for s in segments] if t else [-1] for t, segments in zip(texts, cut)]
+        for k, (t, found) in enumerate(zip(texts, numbers)):
+            if t and len(found) > 1 and -1 in found:  # whether the whole text's tokens are its bytes is asked of the whole
+                if " " + t not in known:
+                    self._learn([" " + t])
+                numbers[k] = [known[" " + t]]
+        fine = [n for n in numbers if n[0] != -1]
+        if not fine:
+            return [None] * len(texts)
+        sizes = np.array([len(n) for n in fine])
+        flat = np.fromiter((k for n in fine for k in n), np.int64, sizes.sum())
+        first = np.cumsum(sizes) - sizes
+        n_a, n_b, n_groups = (np.add.reduceat(self.counts[k][flat], first).tolist() for k in range(3))
+        links = self.counts[0][flat] + self.counts[1][flat] - self.counts[2][flat]  # a group of m and n tokens has m + n - 1
+        after = np.cumsum(links)
+        codes = self.codes[np.repeat(self.counts[3][flat] - (after - links), links) + np.arange(after[-1])]
+        ends = after[first + sizes - 1]
+        made = iter(
+            Aligned(n_a[k], n_b[k], n_groups[k], c, ";".join([self.groups[x] for x in n]))
+            for k, (n, c) in enumerate(zip(fine, np.split(codes, ends[:-1])))
+        )
+        return [next(made) if n[0] != -1 else None for n in numbers]
 
 
-_COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 def packed(codes: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     """Growing codes (as differences) and their counts, both compressed."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -231,6 +299,7 @@ def unpacked(codes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.frombuffer(expand(codes), np.int64)), np.frombuffer(expand(counts), np.uint32).astype(np.int64)
 
 
+_COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 _STORED = ["doc_id", "chunk", *_COUNTS, "groups_sha256", "pairs", "times"]
 
 
@@ -269,15 +338,15 @@ def _tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     size += sizes[end]
                     end += 1
                 ids = batch.column(0).slice(at, end - at).to_pylist()
-                for doc, found in zip(ids, pair.encode(batch.column(1).slice(at, end - at).to_pylist())):
+                for doc, found in zip(ids, pair.align_texts(batch.column(1).slice(at, end - at).to_pylist())):
                     number = (part << 32) | chunk
                     if found is None:
                         rows.append((doc, number, 0, 0, 0, 0, "", *nothing))
                         continue
-                    groups, codes, digest = document(pair, *found)
-                    distinct, times = np.unique(codes, return_counts=True)
+                    distinct, times = np.unique(found.codes, return_counts=True)
                     held.append(distinct)
-                    rows.append((doc, number, len(found[0]), len(found[1]), groups, len(codes), digest, *packed(distinct, times)))
+                    digest = hashlib.sha256(found.groups.encode()).hexdigest()
+                    rows.append((doc, number, found.n_a, found.n_b, found.n_groups, len(found.codes), digest, *packed(distinct, times)))
                 chars += size
                 at = end
                 if chars >= CHUNK_CHARS:
