@@ -13,7 +13,7 @@ from tidelog.session import fresh_path
 from tidelog.sources import events as E
 from tidelog.sources import labels as LA
 from tidelog.sources import sinks
-from tidelog.streaming import ingest, windows
+from tidelog.streaming import ingest, panes, windows
 from tidelog.streaming.context import context_stream
 
 _NAMES = """names as (select event_id, case event_id % 5
@@ -225,3 +225,50 @@ def _context(spark, sf_dir):
     stream = _event_stream(spark, sf_dir).select("id", "ts", "source", "message")
     rows = _closed(spark, context_stream(stream, "source", "message"), "stream-context")
     return rows.select("id", F.array_join("context", "\n").alias("context"))
+
+
+# ------------------------------------------------------------ pulls that deliver late rows
+
+PULLS = 6
+# The pull that delivers a row: five days each; a tenth of the rows comes one to three pulls late.
+_PULL = "least(case when id % 10 = 0 then (day(ts) - 1) {div} 5 + 1 + id % 3 else (day(ts) - 1) {div} 5 end, 5)"
+_SPLIT = f"""{Q.LOGS}, pulled as (select id, case when id % 97 <> 0 then ts end as t, platform, {_PULL.format(div='//')} as pull,
+   {views.PREDICTED_LABEL.format(type='event_type_raw', id='id')} as predicted_label from logs),
+  marks as (select pull, max(max(t)) over (order by pull) - interval '3 hours' as mark from pulled group by pull),
+  split as (select p.*, time_bucket(interval '15 minutes', t) as pane, case when t is null then 'untimed'
+    when time_bucket(interval '15 minutes', t) + interval '15 minutes' <= m.mark then 'late' end as reason
+   from pulled p left join marks m on m.pull = p.pull - 1)"""
+
+
+def _pulled(spark, sf_dir):
+    """The events in six pulls, each a run of the stream over what has landed by then; where its tables lie."""
+    rows = _event_table(spark, sf_dir).withColumnRenamed("timestamp", "ts").withColumn("pull", F.expr(_PULL.format(div="div")))
+    rows = rows.withColumn("ts", F.when(F.col("id") % 97 != 0, F.col("ts")))
+    out = fresh_path(spark, "stream-panes")
+    schema = rows.drop("pull").schema
+    for pull in range(PULLS):
+        rows.filter(F.col("pull") == pull).drop("pull").write.mode("append").parquet(f"{out}/landed")
+        stream = spark.readStream.schema(schema).parquet(f"{out}/landed")
+        panes.start_panes(stream, out, f"{out}/checkpoint").awaitTermination()
+    return out
+
+
+@register("stream_late_rows", f"with {_SPLIT} select id, pull as batch_id, reason from split where reason is not null")
+def _late(spark, sf_dir):
+    """Rows that came after their pane was closed, or without a time, with the batch that brought them."""
+    rows = spark.read.parquet(f"{_pulled(spark, sf_dir)}/late")
+    return rows.select("id", F.col("batch_id").cast("long").alias("batch_id"), "reason")
+
+
+@register(
+    "stream_sliding_windows",
+    f"""with {_SPLIT}, slots as (select predicted_label, platform, pane - to_minutes(15 * unnest(range(0, 48))::bigint) as w0
+       from split where reason is null)
+     select strftime(w0, '%Y-%m-%d %H:%M:%S') as w, dimension, key, count(*) as n from (
+      select w0, unnest(['total', 'label', 'platform']) as dimension, unnest(['', predicted_label, platform]) as key
+      from slots where w0 + interval '12 hours' <= (select max(mark) from marks)) group by all""",
+)
+def _sliding(spark, sf_dir):
+    """12-hour windows every 15 minutes, each written once, when it closes."""
+    rows = spark.read.parquet(f"{_pulled(spark, sf_dir)}/windows")
+    return rows.select(F.date_format("w", "yyyy-MM-dd HH:mm:ss").alias("w"), "dimension", "key", "n")
