@@ -167,18 +167,76 @@ def test_queries_without_oracle_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
-def test_context_goes_on_over_micro_batches(spark, tmp_path):
-    """Two files, one after the other: the second file's first events have the first file's last ones before them."""
+def _land_context(tmp_path, n, rows):
     import os
 
-    from tidelog.streaming.context import context_stream
+    write(tmp_path / "in" / f"{n}.json", [{"id": i, "ts": f"2024-01-01T{h:02d}:0{i % 10}:00Z", "k": k, "m": f"m{i}"} for i, h, k in rows])
+    os.utime(tmp_path / "in" / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+
+
+CONTEXT = "id int, ts timestamp, k string, m string"
+
+
+def test_context_goes_on_over_micro_batches(spark, tmp_path):
+    """Two files, one after the other: the second file's first events have the first file's last ones before them."""
+    from tidelog.streaming.context import context_stream, lists_in_state
 
     for n, ids in enumerate(([3, 1, 2], [5, 4, 6, 7])):
-        write(tmp_path / "in" / f"{n}.json", [{"id": i, "ts": f"2024-01-01T00:0{i}:00Z", "k": "a" if i != 4 else "b", "m": f"m{i}"} for i in ids])
-        os.utime(tmp_path / "in" / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
-    stream = spark.readStream.schema("id int, ts timestamp, k string, m string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    query = context_stream(stream, "k", "m", n=2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
-        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        _land_context(tmp_path, n, [(i, 0, "b" if i == 4 else "a") for i in ids])
+    stream = spark.readStream.schema(CONTEXT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    with lists_in_state(spark):
+        query = context_stream(stream, "k", "m", n=2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     got = {r["id"]: r["context"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: [], 2: ["m1"], 3: ["m1", "m2"], 4: [], 5: ["m2", "m3"], 6: ["m3", "m5"], 7: ["m5", "m6"]}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_state_of_a_silent_key_ends(spark, tmp_path):
+    """With two hours to keep, the values of ``b`` are gone ten hours later, those of ``a`` are not."""
+    from tidelog.streaming.context import context_stream, lists_in_state
+
+    for n, rows in enumerate(([(1, 0, "a"), (2, 0, "b")], [(3, 9, "a")], [(4, 10, "a")], [(5, 10, "b")])):
+        _land_context(tmp_path, n, rows)
+    stream = spark.readStream.schema(CONTEXT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    with lists_in_state(spark):
+        query = context_stream(stream, "k", "m", keep_hours=2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r["id"]: r["context"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[1] == got[2] == got[5] == [] and got[4][-1] == "m3"
+
+
+def test_context_by_batches_carries_one_row_a_key(spark, tmp_path):
+    """Six pulls, one key with most rows: as over the whole table; silent keys end, a repeated batch changes nothing."""
+    import os
+    import random
+
+    from tidelog.streaming.context import start_context
+
+    rng = random.Random(3)
+    rows = [(i, i // 10, "hot" if i % 3 else rng.choice([None, "x", "y"])) for i in range(60)]
+
+    def run():
+        stream = spark.readStream.schema(CONTEXT).json(str(tmp_path / "in"))
+        start_context(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["k"], "m", n=2, keep_hours=48, block=4).awaitTermination()
+
+    for n in range(6):
+        _land_context(tmp_path, n, rows[10 * n : 10 * n + 10])
+        run()
+    want, seen = {}, {}
+    for i, _, k in rows:
+        want[i] = seen.get(k, [])[-2:]
+        seen.setdefault(k, []).append(f"m{i}")
+    got = lambda: {r["id"]: r["context"] for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()}
+    assert got() == want
+    state = spark.read.parquet(str(tmp_path / "out" / "last" / "1")).collect()
+    assert {r["k"]: r["last"] for r in state} == {k: v[-2:] for k, v in seen.items()}
+    for name in ("5", ".5.crc"):
+        os.remove(tmp_path / "cp" / "commits" / name)
+    run()
+    assert got() == want and spark.read.parquet(str(tmp_path / "out" / "last" / "1")).count() == len(seen)
+    write(tmp_path / "in" / "9.json", [{"id": 99, "ts": "2024-02-01T00:00:00Z", "k": "new", "m": "m99"}])
+    run()
+    assert [r["k"] for r in spark.read.parquet(str(tmp_path / "out" / "last" / "0")).collect()] == ["new"]

@@ -34,12 +34,13 @@ def call_model(
 
 
 def with_context(
-    events: DataFrame, keys: list[str], value: str = "template", n: int = 5, block: int = 1000
+    events: DataFrame, keys: list[str], value: str = "template", n: int = 5, block: int = 1000, place: str | None = None
 ) -> DataFrame:
     """Add ``context``: the ``n`` values before each row of its group by (ts, id), oldest first.
 
     Groups are cut into blocks of consecutive rows; the last ``n`` rows of a block are copied to the
-    next one, so every row finds its context in its block and no group is held in one task.
+    next one, so every row finds its context in its block and no group is held in one task. ``place``
+    names a column for the 0-based place of a row in its group.
     """
     placed = positions(events, keys, slice_seconds=1)
     here = F.floor(F.col("pos") / block)
@@ -50,5 +51,5 @@ def with_context(
     return (
         blocks.withColumn("context", F.collect_list(value).over(earlier))
         .filter(F.col("_block") == here)
-        .drop("_block", "pos")
+        .select(*events.columns, *([F.col("pos").alias(place)] if place else []), "context")
     )

@@ -14,7 +14,7 @@ from tidelog.sources import events as E
 from tidelog.sources import labels as LA
 from tidelog.sources import sinks
 from tidelog.streaming import ingest, panes, windows
-from tidelog.streaming.context import context_stream
+from tidelog.streaming.context import context_stream, lists_in_state, start_context
 
 _NAMES = """names as (select event_id, case event_id % 5
    when 0 then 'events_' || strftime(ts, '%Y%m%dT%H%M%SZ') || '.jsonl' when 1 then 'events_latest.jsonl'
@@ -223,10 +223,34 @@ def _event_table(spark, sf_dir):
 def _context(spark, sf_dir):
     """The five messages that the same source logged before, kept as state of the stream."""
     stream = _event_stream(spark, sf_dir).select("id", "ts", "source", "message")
-    rows = _closed(spark, context_stream(stream, "source", "message"), "stream-context")
+    with lists_in_state(spark):
+        rows = _closed(spark, context_stream(stream, "source", "message"), "stream-context")
     return rows.select("id", F.array_join("context", "\n").alias("context"))
 
 
+_HOT = "case when {id} % 3 = 0 then 'node-hot' else source end"
+
+
+@register(
+    "stream_context_batches",
+    f"""with {Q.LOGS}, c as (select id, ts, list(message) over (
+       partition by {_HOT.format(id='id')} order by ts, id rows between 5 preceding and 1 preceding) as ctx from logs)
+     select id, (day(ts) - 1) // 5 as batch_id, coalesce(array_to_string(ctx, chr(10)), '') as context from c""",
+)
+def _context_batches(spark, sf_dir):
+    """The same over pulls of five days each; one source holds a third of all rows."""
+    rows = _event_table(spark, sf_dir).select("id", F.col("timestamp").alias("ts"), F.expr(_HOT.format(id="id")).alias("source"), "message")
+    rows = rows.withColumn("pull", F.expr("(day(ts) - 1) div 5"))
+    out = fresh_path(spark, "stream-context")
+    schema = rows.drop("pull").schema
+    for pull in range(7):  # a month has at most 31 days
+        rows.filter(F.col("pull") == pull).drop("pull").write.mode("append").parquet(f"{out}/landed")
+        stream = spark.readStream.schema(schema).parquet(f"{out}/landed")
+        start_context(stream, out, f"{out}/checkpoint", ["source"], "message", keep_hours=24 * 40).awaitTermination()
+    found = spark.read.parquet(f"{out}/rows")
+    return found.select("id", F.col("batch_id").cast("long").alias("batch_id"), F.array_join("context", "\n").alias("context"))
+
+
 # ------------------------------------------------------------ pulls that deliver late rows
 
 PULLS = 6
