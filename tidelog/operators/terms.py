@@ -24,16 +24,23 @@ def bigrams(words: Column) -> Column:
     return F.zip_with(first, second, lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def doc_terms(documents: DataFrame, sublinear: bool = False) -> DataFrame:
-    """(doc_id, term, tf): counts, or 1 + ln(count).
+def doc_terms(documents: DataFrame) -> DataFrame:
+    """(doc_id, term, tf): counts.
 
     Texts are spread by document before they are exploded. Counting by (document, term), and later
     scaling by document, then need no further shuffle of the much larger term rows.
     """
     words = documents.select("doc_id", "text").repartition("doc_id").select("doc_id", tokens(F.col("text")).alias("_words"))
     exploded = words.select("doc_id", F.explode(F.concat("_words", bigrams(F.col("_words")))).alias("term"))
-    counted = exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return counted.withColumn("tf", 1 + F.log("tf")) if sublinear else counted
+    return exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+def vocabulary_of(counts: DataFrame, n: int, min_df: int = 2, max_features: int | None = None) -> DataFrame:
+    """(term, df, cf, idf) from the term counts (doc_id, term, tf) of ``n`` documents."""
+    frequent = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= min_df)
+    if max_features is not None:
+        frequent = frequent.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+    return frequent.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
 
 
 def fit_vocabulary(
@@ -44,24 +51,26 @@ def fit_vocabulary(
     ``max_features`` keeps the terms with the highest corpus count. Counting is pre-aggregated, so a
     term found in every document is no hot spot.
     """
-    per_term = doc_terms(documents).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    frequent = per_term.filter(F.col("df") >= min_df)
-    if max_features is not None:
-        frequent = frequent.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
     n = documents.agg(F.count("*")).scalar()
-    vocabulary = frequent.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
+    vocabulary = vocabulary_of(doc_terms(documents), n, min_df, max_features)
     return materialize(vocabulary, "vocabulary") if keep else vocabulary
 
 
-def tfidf(documents: DataFrame, vocabulary: DataFrame, sublinear: bool = False) -> DataFrame:
-    """(doc_id, term, tf, w): tf * idf with each document scaled to length one."""
-    counts = doc_terms(documents, sublinear)
+def weigh(counts: DataFrame, vocabulary: DataFrame, sublinear: bool = False) -> DataFrame:
+    """(doc_id, term, tf, w) of term counts: tf (or 1 + ln(tf)) * idf with each document scaled to length one."""
+    if sublinear:
+        counts = counts.withColumn("tf", 1 + F.log("tf"))
     known = lookup_join(counts, vocabulary.select("term", "idf", "df"), "term", ["doc_id"], "df")
     raw = F.col("tf") * F.col("idf")
     length = F.sqrt(F.sum(raw * raw).over(Window.partitionBy("doc_id")))
     return known.select("doc_id", "term", "tf", (raw / length).alias("w"))
 
 
+def tfidf(documents: DataFrame, vocabulary: DataFrame, sublinear: bool = False) -> DataFrame:
+    """(doc_id, term, tf, w): tf * idf with each document scaled to length one."""
+    return weigh(doc_terms(documents), vocabulary, sublinear)
+
+
 def class_weights(labeled: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weight per label: n / (labels * rows of the label)."""
     per_label = labeled.groupBy(label).agg(F.count("*").alias("n"))

@@ -44,9 +44,9 @@ def _vocabulary(spark, sf_dir):
     return T.fit_vocabulary(documents(spark, sf_dir), keep=False).select("term", "df", "cf")
 
 
-@register("vocabulary_cap", f"with {_VOCAB} select term, df, cf from vocab order by cf desc, term limit 3000")
+@register("vocabulary_cap", f"with {_VOCAB} select term, df, cf from vocab order by cf desc, term limit 30000")
 def _cap(spark, sf_dir):
-    return T.fit_vocabulary(documents(spark, sf_dir), max_features=3000, keep=False).select("term", "df", "cf")
+    return T.fit_vocabulary(documents(spark, sf_dir), max_features=30_000, keep=False).select("term", "df", "cf")
 
 
 @register("smoothed_idf", f"with {_VOCAB} select term, round_even(idf, 6) as idf from vocab")

@@ -4,9 +4,12 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import metrics as M
 from tidelog.operators import sampling as S
+from tidelog.operators import segments as SG
 from tidelog.operators import sessions as SE
+from tidelog.operators import terms as T
 from tidelog.plans import views
 from tidelog.plans.registry import register
+from tidelog.session import materialize
 
 # Labels by event type; three "models" err on different rows.
 _TRUE = """case event_type when 'error' then 'error' when 'signup' then 'security_noise'
@@ -278,15 +281,16 @@ _TRACES = """traces as (select user_id, '[' || string_agg(event_type, ',' order
 SEGMENT = 10  # events: sessions of the test data then have several segments
 
 
-def traces(spark, sf_dir):
-    """One row per user session: features text and outcome."""
-    events = views.table(spark, sf_dir, "events")
-    placed = SE.positions(events.select("user_id", "ts", "event_id", "event_type"), ["user_id"], tie="event_id")
-    outcome = events.groupBy("user_id").agg(
-        F.when(F.count_if(F.col("event_type") == "error") > 15, " Fail").otherwise("Success").alias("outcome")
-    )
-    segments = SE.trace_segments(placed, ["user_id"], "event_type", SEGMENT)
-    return SE.whole_traces(segments, ["user_id"]).join(outcome, "user_id")
+def outcomes(spark, sf_dir):
+    """One row per user session: its outcome."""
+    failed = F.count_if(F.col("event_type") == "error") > 15
+    return views.table(spark, sf_dir, "events").groupBy("user_id").agg(F.when(failed, " Fail").otherwise("Success").alias("outcome"))
+
+
+def segments(spark, sf_dir, size=SEGMENT):
+    """The user sessions in rows of at most ``size`` events: user_id, segment, features."""
+    events = views.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return SE.trace_segments(SE.positions(events, ["user_id"], tie="event_id"), ["user_id"], "event_type", size)
 
 
 _SEGMENTS = """seg as (select user_id, cast((pos // 20) as integer) as segment,
@@ -310,14 +314,17 @@ def _positions(spark, sf_dir):
     return SE.positions(events, ["user_id"], tie="event_id").select("event_id", "user_id", "pos")
 
 
+_PARTS = """parts as (select *, cast((row_number() over (partition by user_id order by ts, event_id) - 1) // 10 as integer) as segment from events)"""
+
+
 @register(
     "session_trace_events",
-    f"""with {_TRACES} select user_id, len(string_split(trim(features, '[]'), ',')) as n,
-     array_to_string(string_split(trim(features, '[]'), ','), '|') as events from traces""",
+    f"""with {_PARTS} select user_id, segment, count(*) as n, string_agg(event_type, '|' order by ts, event_id) as events
+     from parts group by user_id, segment""",
 )
 def _parsed(spark, sf_dir):
-    parsed = traces(spark, sf_dir).withColumn("e", SE.parse_trace(F.col("features")))
-    return parsed.select("user_id", F.size("e").cast("long").alias("n"), F.array_join("e", "|").alias("events"))
+    parsed = segments(spark, sf_dir).withColumn("e", SE.parse_trace(F.col("features")))
+    return parsed.select("user_id", "segment", F.size("e").cast("long").alias("n"), F.array_join("e", "|").alias("events"))
 
 
 _DICTIONARY = """dictionary as (select event_type as event_id, 'type ' || event_type || ' seen ' || count(*) as template
@@ -332,22 +339,60 @@ def dictionary(spark, sf_dir):
     )
 
 
-_TEXTS = f"""with {_TRACES}, {_DICTIONARY} select user_id as trace_id,
+_TEXTS = f"""with {_PARTS}, {_DICTIONARY} select user_id as trace_id, segment,
    string_agg(coalesce(d.template, e.event_type), ' ' order by ts, e.event_id) as document
-   from events e left join dictionary d on d.event_id = e.event_type group by user_id"""
+   from parts e left join dictionary d on d.event_id = e.event_type group by user_id, segment"""
+
+
+def _segment_text(spark, sf_dir, **options):
+    found = SG.segment_text(segments(spark, sf_dir), ["user_id"], dictionary(spark, sf_dir), **options)
+    return found.select(F.col("user_id").alias("trace_id"), "segment", "document")
 
 
 @register("session_text", _TEXTS)
 def _text(spark, sf_dir):
-    rows = traces(spark, sf_dir).withColumnRenamed("user_id", "trace_id")
-    return SE.trace_text(rows, dictionary(spark, sf_dir)).select("trace_id", "document")
+    return _segment_text(spark, sf_dir)
 
 
 @register("session_text_joined", _TEXTS)
 def _text_joined(spark, sf_dir):
     """The same through the salted join, as for a dictionary too large for a literal."""
-    rows = traces(spark, sf_dir).withColumnRenamed("user_id", "trace_id")
-    return SE.trace_text(rows, dictionary(spark, sf_dir), max_literal=0).select("trace_id", "document")
+    return _segment_text(spark, sf_dir, max_literal=0)
+
+
+# Whole sessions on the side of DuckDB: what the segments give must equal them.
+_SESSION_TERMS = f"""{_DICTIONARY}, texts as (select user_id as trace_id,
+   string_agg(coalesce(d.template, e.event_type), ' ' order by ts, e.event_id) as document
+   from events e left join dictionary d on d.event_id = e.event_type group by user_id),
+  words as (select trace_id, regexp_extract_all(lower(document), '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from texts),
+  terms as (select trace_id, term, count(*) as tf from (
+   select trace_id, unnest(w) as term from words
+   union all select trace_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) as term from words)
+   group by all)"""
+
+
+def session_terms(spark, sf_dir):
+    return SG.session_terms(_segment_text(spark, sf_dir), ["trace_id"])
+
+
+@register("session_terms", f"with {_SESSION_TERMS} select trace_id, term, tf from terms")
+def _terms(spark, sf_dir):
+    """Words and pairs of words of sessions, counted from segments of ten events."""
+    return session_terms(spark, sf_dir)
+
+
+@register(
+    "session_tfidf",
+    f"""with {_SESSION_TERMS}, n as (select count(*) as n from texts),
+     vocab as (select term, ln((1 + any_value(n)) / (1 + count(*))) + 1 as idf from terms, n group by term having count(*) >= 2),
+     raw as (select trace_id, term, (1 + ln(tf)) * idf as x from terms join vocab using (term))
+     select trace_id, term, round_even(x / sqrt(sum(x * x) over (partition by trace_id)), 6) as w from raw""",
+)
+def _session_tfidf(spark, sf_dir):
+    terms = materialize(session_terms(spark, sf_dir).withColumnRenamed("trace_id", "doc_id"), "session-terms")
+    vocabulary = materialize(T.vocabulary_of(terms, terms.select("doc_id").distinct().count()), "vocabulary")
+    rows = T.weigh(terms, vocabulary, sublinear=True)
+    return rows.select(F.col("doc_id").alias("trace_id"), "term", F.bround("w", 6).alias("w"))
 
 
 @register(
@@ -357,7 +402,7 @@ def _text_joined(spark, sf_dir):
 )
 def _labels(spark, sf_dir):
     holed = F.when(F.col("user_id") % 10 != 0, F.col("outcome"))
-    return traces(spark, sf_dir).select("user_id", SE.fail_label(holed).alias("label"))
+    return outcomes(spark, sf_dir).select("user_id", SE.fail_label(holed).alias("label"))
 
 
 @register(
@@ -366,4 +411,4 @@ def _labels(spark, sf_dir):
      select label, count(*) as n, round_even(count(*) / sum(count(*)) over (), 4) as share from l group by label""",
 )
 def _share(spark, sf_dir):
-    return M.class_share(traces(spark, sf_dir).select(SE.fail_label(F.col("outcome")).alias("label")))
+    return M.class_share(outcomes(spark, sf_dir).select(SE.fail_label(F.col("outcome")).alias("label")))
