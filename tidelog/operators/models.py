@@ -1,6 +1,7 @@
 """TF-IDF classifiers on Spark ML: shared features, four classifiers, scoring, saving, cross-validation."""
 
 import math
+from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tidelog import fixed_values as V
 from tidelog.functions.rewrites import second_pass
 from tidelog.functions.scoring import displayed_confidence, label_or_anomaly, risk_score, softmax_confidence
-from tidelog.operators import metrics
+from tidelog.operators import folds, metrics, segments
 from tidelog.operators.joins import lookup_join
 from tidelog.operators.sampling import stratified_folds
 from tidelog.operators.squared_hinge import SquaredHingeClassifier
@@ -218,18 +219,42 @@ def cross_validate(
     label: str = "label",
     k: int = 5,
     names: list[str] = MODEL_NAMES,
+    classes: list[str] = sorted(V.LABELS),
+    max_features: int | None = None,
+    sublinear: bool = False,
     **options,
 ) -> DataFrame:
-    """Macro F1 per model over ``k`` stratified folds: mean, std, range and the fold list."""
+    """Macro F1 per model over ``k`` stratified folds: mean, std, range and the fold list. ``key`` is unique.
+
+    Texts are counted once; the vocabulary of each training part is that of all rows less its fold (``folds``).
+    """
     folded = materialize(stratified_folds(df.select(*dict.fromkeys([key, text, label])), key, label, k), "folds")
-    pairs = None
-    for fold in range(k):
-        models = train_models(folded.filter(F.col("fold") != fold), text, label, names=names, **options)
-        held_out = folded.filter(F.col("fold") == fold).select(text, F.col(label).alias("y_true"))
-        for name, model in models.items():
-            part = predict(held_out, model).select(
-                F.lit(name).alias("model"), F.lit(fold).alias("fold"), "y_true", F.col("best").alias("y_pred")
-            )
-            pairs = part if pairs is None else pairs.unionByName(part)
-    rows = metrics.metrics_rows(pairs, ["model", "fold"], digits=None)
-    return metrics.crossval_summary(rows.select("model", "fold", "macro_f1"))
+    sizes = {int(r["fold"]): r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    counts = folds.fold_counts(folded, key, text)
+    vocabularies = materialize(folds.fold_vocabularies(counts, sizes), "fold-vocabularies")
+    index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
+    rows = folded.select(F.col(key).alias("doc_id"), F.col("fold").cast("int").alias("fold"), F.col(label).alias("_label"), index.cast("double").alias("label"))
+    back = IndexToString(inputCol="prediction", outputCol="y_pred", labels=classes)
+    truth = IndexToString(inputCol="label", outputCol="y_true", labels=classes)
+    pairs = []
+    if "naive_bayes" in names and max_features is None and not sublinear:
+        weights = folds.fold_weights(counts, vocabularies)
+        found = folds.bayes_pairs(weights, vocabularies, rows.select("doc_id", "fold", F.col("_label").alias("label")), classes)
+        pairs.append(found.select(F.lit("naive_bayes").alias("model"), "fold", "y_true", "y_pred"))
+        names = [name for name in names if name != "naive_bayes"]
+    for fold in sizes if names else ():
+        own = vocabularies.filter(F.col("held") == fold).select("term", "df", "cf", "idf")
+        if max_features is not None:
+            own = own.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+        own = segments.with_index(own)
+        train, test = (
+            segments.session_features(counts.select("doc_id", "term", "tf"), rows.filter(part).select("doc_id", "label"), "doc_id", own, sublinear=sublinear)
+            for part in (F.col("fold") != fold, F.col("fold") == fold)
+        )
+        weighted = materialize(with_class_weight(train, "label"), "training")
+        n = weighted.count()
+        for name in names:
+            scored = truth.transform(back.transform(classifier(name, n, **options).fit(weighted).transform(test)))
+            pairs.append(scored.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "y_true", "y_pred"))
+    metric = metrics.metrics_rows(reduce(DataFrame.unionByName, pairs), ["model", "fold"], digits=None)
+    return metrics.crossval_summary(metric.select("model", "fold", "macro_f1"))

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from tidelog.functions.labeling import label_id, label_of_id
 from tidelog.functions.scoring import best_class, displayed_confidence, label_or_anomaly, risk_score, softmax_confidence
 from tidelog.operators import complement_bayes as CB
+from tidelog.operators import folds as FO
+from tidelog.operators import models as MO
+from tidelog.operators import sampling as SM
 from tidelog.operators import terms as T
 from tidelog.plans import oracle_text as Q
 from tidelog.plans import views
 from tidelog.plans.registry import register
+from tidelog.session import materialize
 
 _WORDS = """words as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as w from documents)"""
 _TERMS = f"""{_WORDS}, dt as (select doc_id, term, count(*) as tf from (
@@ -150,6 +154,59 @@ def _classified(spark, sf_dir):
     )
 
 
+_FOLDS = f"""folded as (select d.doc_id, d.text, 'quality_' || quality as label, cast((row_number() over (
+   partition by quality order by md5('42-' || d.doc_id), d.doc_id) - 1) % 5 as integer) as fold from documents d join labels using (doc_id)),
+  words as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from folded),
+  dt as (select doc_id, term, count(*) as tf from (
+   select doc_id, unnest(w) as term from words
+   union all select doc_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) as term from words)
+   group by all),
+  helds as (select unnest(range(5))::integer as held),
+  n as (select held, count(*) as n from folded, helds where fold <> held group by held),
+  vocab as (select held, term, count(*) as df, cast(sum(tf) as bigint) as cf, ln((1 + any_value(n)) / (1 + count(*))) + 1 as idf
+   from dt join folded using (doc_id), n where fold <> held group by held, term having count(*) >= 2)"""
+
+
+def folded(spark, sf_dir):
+    rows = documents(spark, sf_dir).join(labeled(spark, sf_dir), "doc_id")
+    return materialize(SM.stratified_folds(rows, "doc_id"), "folds")
+
+
+@register("fold_vocabularies", f"with {_FOLDS} select held, term, df, cf, round_even(idf, 6) as idf from vocab")
+def _fold_vocabularies(spark, sf_dir):
+    """The vocabulary of the rows outside each of five folds, fitted anew on the side of DuckDB."""
+    rows = folded(spark, sf_dir)
+    sizes = {int(r["fold"]): r["count"] for r in rows.groupBy("fold").count().collect()}
+    found = FO.fold_vocabularies(FO.fold_counts(rows, "doc_id", "text"), sizes)
+    return found.withColumn("idf", F.bround("idf", 6))
+
+
+@register(
+    "cross_validation_bayes",
+    f"""with {_FOLDS},
+     raw as (select held, doc_id, fold, label, term, tf * idf as x from dt join vocab using (term) join folded using (doc_id)),
+     weighted as (select *, x / sqrt(sum(x * x) over (partition by held, doc_id)) as w from raw),
+     fc as (select v.held, v.term, coalesce(sum(w) filter (where label = 'quality_0'), 0) as c0, coalesce(sum(w) filter (where label = 'quality_1'), 0) as c1
+      from vocab v left join (select * from weighted where fold <> held) x on x.term = v.term and x.held = v.held group by v.held, v.term),
+     model as (select held, term, -ln((c1 + 1) / sum(c1 + 1) over (partition by held)) as w0, -ln((c0 + 1) / sum(c0 + 1) over (partition by held)) as w1 from fc),
+     scores as (select doc_id, sum(w * w0) as s0, sum(w * w1) as s1 from weighted join model using (held, term) where fold = held group by doc_id),
+     pairs as (select fold, label as y_true, case when coalesce(s0, 0) >= coalesce(s1, 0) then 'quality_0' else 'quality_1' end as y_pred
+      from folded left join scores using (doc_id)),
+     lab as (select fold, y_true as label from pairs union select fold, y_pred from pairs),
+     hits as (select lab.fold, lab.label, count(*) filter (where y_true = label and y_pred = label) as tp,
+       count(*) filter (where y_true = label) + count(*) filter (where y_pred = label) as asked
+      from lab join pairs using (fold) group by all),
+     m as (select fold, avg(coalesce(2 * tp / nullif(asked, 0), 0)) as macro_f1 from hits group by fold)
+     select 'naive_bayes' as model, round_even(avg(macro_f1), 4) as mean, round_even(stddev_pop(macro_f1), 4) as std,
+      round_even(avg(macro_f1) - 1.96 * stddev_pop(macro_f1), 4) as ci_low, round_even(avg(macro_f1) + 1.96 * stddev_pop(macro_f1), 4) as ci_high,
+      string_agg(round_even(macro_f1, 4)::varchar, ',' order by fold) as folds from m""",
+)
+def _crossval_bayes(spark, sf_dir):
+    rows = documents(spark, sf_dir).join(labeled(spark, sf_dir), "doc_id")
+    found = MO.cross_validate(rows, "doc_id", "text", names=["naive_bayes"], classes=_CLASSES)
+    return found.withColumn("folds", F.array_join("folds", ","))
+
+
 # ------------------------------------------------------------ score columns over every event
 
 _FOUR = ["error", "important", "noise", "security_noise"]
