@@ -24,6 +24,6 @@ def test_matches_oracle(spark, duck, sf_dir, name):
 def test_every_query_without_oracle_is_known():
     assert set(QUERIES) - set(ORACLES) == {
         "random_forest_predictions", "logistic_regression_predictions", "linear_svc_predictions",
-        "naive_bayes_predictions", "train_and_compare", "cross_validation", "score_events", "session_classifier", "best_session_report",
+        "naive_bayes_predictions", "train_and_compare", "cross_validation", "score_events", "session_classifier", "best_session_report", "linear_svc_by_blocks",
         "html_text", "page_chunks", "chunk_vectors", "explain_top_incidents", "model_calls",
     }

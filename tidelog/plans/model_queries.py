@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.labeling import label_id, label_of_id
 from tidelog.functions.scoring import best_class, displayed_confidence, label_or_anomaly, risk_score, softmax_confidence
+from tidelog.operators import block_hinge as BH
 from tidelog.operators import complement_bayes as CB
 from tidelog.operators import folds as FO
+from tidelog.operators import metrics as ME
 from tidelog.operators import models as MO
 from tidelog.operators import sampling as SM
+from tidelog.operators import segments as SG
 from tidelog.operators import terms as T
 from tidelog.plans import oracle_text as Q
 from tidelog.plans import views
@@ -207,6 +210,26 @@ def _crossval_bayes(spark, sf_dir):
     return found.withColumn("folds", F.array_join("folds", ","))
 
 
+@register("linear_svc_by_blocks")
+def _svc_blocks(spark, sf_dir):
+    """The squared-hinge classifier trained with its coefficients in tables, and its report per class on a fifth of the rows."""
+    rows = documents(spark, sf_dir).join(labeled(spark, sf_dir), "doc_id")
+    split = materialize(SM.stratified_split(rows, "doc_id").withColumn("y", (F.col("label") == _CLASSES[1]).cast("int")), "split")
+    counts = materialize(T.doc_terms(split), "terms")
+    train = split.filter("part = 'train'").select("doc_id")
+    vocabulary = SG.with_index(T.vocabulary_of(counts.join(train, "doc_id", "left_semi"), train.count()))
+    n_features = vocabulary.count()
+    weighted = T.weigh(counts, vocabulary).join(vocabulary.select("term", "index"), "term")
+    entries = weighted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "w"))).alias("e"))  # one document's terms
+    empty = F.array().cast("array<struct<index:int,w:double>>")
+    vectors = split.join(entries, "doc_id", "left").withColumn("e", F.coalesce("e", empty))
+    vectors = materialize(vectors.select("part", "y", F.col("e.index").alias("indices"), F.col("e.w").alias("values")), "vectors")
+    model = BH.fit(vectors.filter("part = 'train'"), n_features, 2, tol=5e-2)
+    found = BH.scores(vectors.filter("part = 'test'"), model, n_features, 2)
+    names = F.array(*[F.lit(c) for c in _CLASSES])
+    return ME.per_class(ME.confusion_counts(found.select(F.get(names, F.col("y")).alias("y_true"), best_class(F.col("scores"), _CLASSES).alias("y_pred"))))
+
+
 # ------------------------------------------------------------ score columns over every event
 
 _FOUR = ["error", "important", "noise", "security_noise"]
