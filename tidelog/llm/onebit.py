@@ -3,8 +3,9 @@
 Every vector is rotated by one random orthogonal matrix (from a seed) and keeps the signs of its coordinates, packed into
 bits, with two numbers: its length and the inner product of its direction with the direction of its signs. From a query's
 rotated coordinates and a code the inner product of the two vectors is estimated without bias; how far off the estimate may
-be follows from the second number: ``bound`` standard errors. The k-th best lower bound of a query, over the vectors of a
-cell, is a score that k of them reach, so only vectors whose upper bound is as high are reranked by exact inner products.
+be follows from the second number: ``bound`` standard errors. In a cell the vectors with the best estimates are compared
+exactly first; the k-th best of their scores is one that k vectors reach, so of the others only vectors whose upper bound is as
+high are reranked by exact inner products.
 
 Queries come in blocks and vectors in parts, both of bounded size; each pair of a block and a part is one cell, dealt by
 key, and gives at most k rows per query. The index (codes and both numbers) covers every vector.
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from tidelog.session import materialize
 
-PART_ROWS, BLOCK_QUERIES = 8192, 256
+PART_ROWS, BLOCK_QUERIES = 8192, 1024
 BOUND, SEED = 3.5, 1
+# Vectors of a cell that are compared first, by their estimates.
+FIRST = 64
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -65,6 +68,17 @@ def _exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return total
 
 
+def _top(values: np.ndarray, n: int) -> np.ndarray:
+    """The places of the ``n`` greatest values, in no order; -inf does not count."""
+    found = np.argpartition(values, len(values) - n)[len(values) - n :] if len(values) > n else np.arange(len(values))
+    return found[values[found] > -np.inf]
+
+
+def _kth(values: np.ndarray, k: int) -> float:
+    """The ``k``-th greatest value; -inf of fewer."""
+    return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else -np.inf
+
+
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy() for c in column.chunks] or [np.zeros(0)]).reshape(-1, dim).astype(np.float64)
 
@@ -118,9 +132,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
             guess, error = estimates(queries[a : a + 64], code, length, along, turn, bound)
             for i, q in enumerate(query_ids[a : a + 64]):
                 others = ids != q
-                low = np.where(others, guess[i] - error[i], -np.inf)
-                floor = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+                first = _top(np.where(others, guess[i], -np.inf), FIRST)
+                floor = _kth(own[first] @ queries[a + i], k)  # a score that k vectors reach
                 some = np.flatnonzero(others & (guess[i] + error[i] >= floor))
+                near = own[some] @ queries[a + i]
+                slack = 1e-12 * np.sqrt((queries[a + i] ** 2).sum()) * length.max(initial=0.0)
+                some = some[near >= _kth(near, k) - slack]  # the product's own rounding is no reason to lose one
                 score = _exact(queries[a + i], own[some])
                 best = np.lexsort((ids[some], -score))[:k]
                 out.append((np.full(len(best), q), ids[some[best]], score[best]))
