@@ -2,14 +2,15 @@
 
 A byte-level BPE first cuts a text into pieces (a run of letters, digits or other signs with at most one
 space before it, or white space) and encodes every piece by itself. Pieces repeat, so a batch of texts is
-cut at once on arrays of characters, equal pieces are found by two 64-bit hashes, and only pieces that the
-worker has not met yet reach the tokenizer. Texts with an apostrophe (contractions) or characters past
+cut at once on arrays of characters, equal pieces are found by two 64-bit hashes (of long pieces by a digest, as
+long ones can be built to collide under both), and only pieces that the worker has not met yet reach the tokenizer. Texts with an apostrophe (contractions) or characters past
 Latin Extended-B go to the tokenizer whole, and so do texts with the content of a token added to the
 tokenizer, which is one id wherever it stands. Both ways give the ids of ``Tokenizer.encode``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 CACHED_PIECES = 600_000
 # Characters cut at once: bounds the arrays of a batch.
 BATCH_CHARS = 500_000
+# Characters up to which a piece's hashes are polynomials.
+LONG_PIECE = 64
 
 _SEPARATOR = "￿"
 _LETTER, _NUMBER, _OTHER, _SPACE, _WHITE, _END, _HARD = range(7)
@@ -166,6 +169,9 @@ class Encoder:
             total[0] = 0
             np.cumsum(self.tables[k][chars] * up[: len(chars)], out=total[1:])
             hashes.append((total[last] - total[first]) * down[first])
+        for i in np.flatnonzero(last - first > LONG_PIECE).tolist():
+            digest = hashlib.blake2b(chars[first[i] : last[i]].tobytes(), digest_size=16).digest()
+            hashes[0][i], hashes[1][i] = np.frombuffer(digest, np.uint64)
         which, seen = pd.factorize(hashes[0])
         distinct = np.empty(len(seen), np.int64)
         distinct[which[::-1]] = np.arange(len(which) - 1, -1, -1)

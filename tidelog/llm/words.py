@@ -1,11 +1,14 @@
 """Words of whole texts as 64-bit hashes, cut and hashed on arrays of bytes.
 
 A word's hash is a polynomial over its UTF-8 bytes with random byte values, modulo 2**64, then mixed; runs of words are
-hashed the same way over the words' hashes. Everything is the same in every process.
+hashed the same way over the words' hashes. Long sequences can be built to collide under such a polynomial whatever its base
+(from about a thousand members on), so words of more than ``LONG`` bytes are hashed by BLAKE2b; runs are short. Everything is
+the same in every process.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +16,8 @@ import numpy as np
 
 # Bytes hashed at once: bounds the arrays of a chunk (about 60 bytes for each).
 CHUNK_BYTES = 1_200_000
+# Bytes up to which a word's hash is the polynomial.
+LONG = 128
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RUN_BASE = 0xC2B2AE3D27D4EB4F | 1
 _VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -70,6 +75,9 @@ def cut(texts: list[str], lower: bool = False, alnum: bool = False) -> Words:
     total = np.zeros(len(octets) + 1, np.uint64)
     np.cumsum(values[octets] * up[:-1], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start])
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        word = data[start[i] : end[i]]
+        hashes[i] = int.from_bytes(hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest(), "little")
     text_ends = np.cumsum([len(e) + 1 for e in encoded])
     return Words(hashes, np.concatenate([[0], np.searchsorted(start, text_ends)]), start, end, data)
 
