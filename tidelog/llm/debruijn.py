@@ -174,9 +174,11 @@ def removal_digests(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
             out = []
             for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
                 found = _words(text or "")
-                kept = found
-                for s in reversed(spans or []):
-                    kept = kept[: s["start"]] + kept[s["end"] :]
+                kept, at = [], 0
+                for s in spans or []:
+                    kept += found[at : s["start"]]
+                    at = s["end"]
+                kept += found[at:]
                 out.append((doc_id, len(found), len(found) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, kinds)], schema=kinds)
 
@@ -202,8 +204,11 @@ def cut_text(text: str | None, spans: list | None) -> str | None:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """``docs`` with the repeated words cut from ``text``, same columns; documents with nothing left keep an empty text."""
-    columns = docs.columns
-    cut = F.udf(lambda text, spans: cut_text(text, spans), "string")
-    rows = _with_spans(docs, window, k)
-    return rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))).select(*columns)
+    """``docs`` with the repeated words cut from ``text``, same columns; documents with nothing left keep an empty text.
+
+    Whole rows are carried as one value, so other columns may have any names."""
+    cut = F.udf(lambda text, spans: cut_text(text, spans), "string", useArrow=True)
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = _with_spans(packed, window, k)
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

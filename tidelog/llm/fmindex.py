@@ -289,6 +289,6 @@ def cut_text(text: str | None, spans: list | None) -> str | None:
 
 def remove_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with hit words cut from ``text``, same columns; a document with nothing left keeps what stands between words."""
-    cut = F.udf(lambda text, spans: cut_text(text, spans), "string")
+    cut = F.udf(lambda text, spans: cut_text(text, spans), "string", useArrow=True)
     found = find_phrases(docs, items, window)
     return found.withColumn("text", F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text"))).select(*docs.columns)
