@@ -10,7 +10,9 @@ Exact, in four steps, none of which writes a row per pair of a group:
 3. Multiple-global-order filter on those that remain: under each of several total orders of the n-grams (rarest first, ties
    and near ties ordered by different hashes) two linked documents share one of their first ``n // 4 + 1``.
    First every document is compared with one leader per order: the document that comes first under most of its prefix
-   n-grams. That joins groups of near copies, whatever their size, with one comparison per member.
+   n-grams. That joins groups of near copies, whatever their size, with one comparison per member. Where n-grams of more than
+   ``FEW`` documents still lie in several components, up to ``ROUNDS`` rounds go on with leaders of ``DRAWS`` random orders, one
+   comparison per member and order, until one brings no link: members that miss one leader by a little meet another.
    Then all pairs of documents that are still in different components and share a prefix n-gram under every order are
    compared: the filters of the orders are intersected before the sets are read. N-grams of many documents go through
    cells of two blocks of them, which let only pairs out whose overlap can reach the threshold.
@@ -40,6 +42,8 @@ from tidelog.session import materialize
 
 K, PERCENT = 5, 75
 ORDERS = 3
+# Rounds with some leaders drawn anew for n-grams of many documents; pairs that they leave are compared all the same.
+ROUNDS, DRAWS = 4, 4
 # Nodes of one n-gram up to which pairs are joined, and nodes in a block of a cell beyond.
 FEW, CELL, SHARES = 64, 1024, 256
 # Characters of a chunk of documents, and n-grams (of the half that is counted) that one bucket holds.
@@ -311,6 +315,20 @@ def linked_groups(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
         leaders = near.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count("*").alias("shared"))
         pairs = leaders.groupBy("node").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
         links, known = joined(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")), links, known)
+    for r in range(ROUNDS):
+        rows = prefixes.select("node", "n", F.explode(f"p{r % ORDERS}").alias("gram")).join(known, "node")
+        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(r * DRAWS + d)).alias("draw"), "node", "n", "component")).alias(f"d{d}") for d in range(DRAWS)]
+        first = rows.groupBy("gram").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), *drawn)
+        first = first.filter((F.col("size") > FEW) & (F.col("lo") < F.col("hi")))
+        leads = F.posexplode(F.array(*[f"d{d}" for d in range(DRAWS)])).alias("d", "lead")
+        near = rows.join(first, "gram").select("node", "n", "component", leads)
+        near = near.filter((F.col("component") != F.col("lead.component")) & _can_link("n", "lead.n", percent))
+        leaders = near.groupBy("node", "d", F.col("lead.node").alias("leader")).agg(F.count("*").alias("shared"))
+        pairs = leaders.groupBy("node", "d").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
+        before = known
+        links, known = joined(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), links, known)
+        if known is before:
+            break
     pairs = materialize(_across(prefixes, known, percent), "across")
     if pairs.isEmpty():
         return nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
@@ -359,9 +377,11 @@ def groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without those that have a group with a smaller doc_id in it; rows with equal id and text stay once."""
+    """``docs`` without those that have a group with a smaller doc_id in it; rows with equal id and text stay once.
+
+    Whole rows are carried as one value, so other columns may have any names."""
     found = groups(docs, k, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
-    found = found.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
-    named = docs.withColumn("_hash_of", F.xxhash64("text"))
-    kept = named.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash_of") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash_of"]).select(*docs.columns)
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
+    kept = rows.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["_doc", "_text"]).select("_row.*")
