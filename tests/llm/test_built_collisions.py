@@ -90,7 +90,7 @@ def test_comparisons_inside_a_group_of_near_copies_are_linear(spark, monkeypatch
 
     monkeypatch.setattr(jaccard, "_linked", counting)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.groups(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.groups(docs, rounds=4).collect()}
     sets = [frozenset(zip(*(t.split(" ")[k:] for k in range(5)))) for t in texts]
     label = list(range(400))
     for i in range(400):

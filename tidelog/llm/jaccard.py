@@ -11,8 +11,9 @@ Exact, in four steps, none of which writes a row per pair of a group:
    and near ties ordered by different hashes) two linked documents share one of their first ``n // 4 + 1``.
    First every document is compared with one leader per order: the document that comes first under most of its prefix
    n-grams. That joins groups of near copies, whatever their size, with one comparison per member. Where n-grams of more than
-   ``FEW`` documents still lie in several components, up to ``ROUNDS`` rounds go on with leaders of ``DRAWS`` random orders, one
-   comparison per member and order, until one brings no link: members that miss one leader by a little meet another.
+   ``FEW`` documents still lie in several components, up to ``rounds`` rounds may go on with leaders of ``DRAWS`` random orders,
+   one comparison per member and order, until one brings no link: members that miss one leader by a little meet another. They
+   spare comparisons of pairs in very large groups and cost passes over all prefixes elsewhere, so none is made by default.
    Then all pairs of documents that are still in different components and share a prefix n-gram under every order are
    compared: the filters of the orders are intersected before the sets are read. N-grams of many documents go through
    cells of two blocks of them, which let only pairs out whose overlap can reach the threshold.
@@ -42,8 +43,8 @@ from tidelog.session import materialize
 
 K, PERCENT = 5, 75
 ORDERS = 3
-# Rounds with some leaders drawn anew for n-grams of many documents; pairs that they leave are compared all the same.
-ROUNDS, DRAWS = 4, 4
+# Leaders drawn anew in a round for n-grams of many documents; pairs that rounds leave are compared all the same.
+DRAWS = 4
 # Nodes of one n-gram up to which pairs are joined, and nodes in a block of a cell beyond.
 FEW, CELL, SHARES = 64, 1024, 256
 # Characters of a chunk of documents, and n-grams (of the half that is counted) that one bucket holds.
@@ -290,7 +291,7 @@ def _counts(shares: bytes) -> np.ndarray:
     return np.frombuffer(shares, "u1" if len(shares) == SHARES else "<u4").astype(np.uint32)
 
 
-def linked_groups(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def linked_groups(nodes: DataFrame, percent: int = PERCENT, rounds: int = 0) -> DataFrame:
     """(node, component) for ``nodes`` (node bigint, n, grams array<bigint>), stored and with distinct sets."""
     spark = nodes.sparkSession
     prefixes = materialize(_prefixes(nodes, percent), "prefixes")
@@ -315,7 +316,7 @@ def linked_groups(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
         leaders = near.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count("*").alias("shared"))
         pairs = leaders.groupBy("node").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
         links, known = joined(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")), links, known)
-    for r in range(ROUNDS):
+    for r in range(rounds):
         rows = prefixes.select("node", "n", F.explode(f"p{r % ORDERS}").alias("gram")).join(known, "node")
         drawn = [F.min(F.struct(F.xxhash64("node", F.lit(r * DRAWS + d)).alias("draw"), "node", "n", "component")).alias(f"d{d}") for d in range(DRAWS)]
         first = rows.groupBy("gram").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), *drawn)
@@ -341,7 +342,7 @@ def linked_groups(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+def groups(docs: DataFrame, k: int = K, percent: int = PERCENT, rounds: int = 0) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the least doc_id reachable by links) and
     text_hash, which with doc_id names the row."""
     rows = materialize(classes(docs, k), "classes")
@@ -365,7 +366,7 @@ def groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     # A document id that repeats brings other texts along: they are kept if wanted, once for each class.
     found = found.join(wanted.select("cls", "rep", "least"), "cls").dropDuplicates(["cls"])
     nodes = materialize(found.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    grouped = linked_groups(nodes.select("node", "n", "grams"), percent)
+    grouped = linked_groups(nodes.select("node", "n", "grams"), percent, rounds)
     named = nodes.select("node", "cls", "least").join(grouped, "node")
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = named.join(names, "component").select("cls", "component_id")
