@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog import fixed_values as V
 from tidelog.functions.text import round_even
+from tidelog.operators.sketches import exact_quantile
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -92,49 +93,21 @@ def excluded_count(pairs: DataFrame, labels: list[str] = V.LABELS) -> DataFrame:
     return pairs.agg(F.count("*").alias("replies"), F.count_if(outside).alias("excluded"))
 
 
-def exact_percentile(df: DataFrame, value: str, q: float, accuracy: int = 100_000) -> DataFrame:
-    """Percentile with linear interpolation, exact, as one row (n, value).
+def exact_percentile(df: DataFrame, value: str, q: float, **passes: int) -> DataFrame:
+    """Percentile with linear interpolation, exact, as one row (n, value); none without values.
 
-    A sketch brackets the wanted ranks; only the distinct values inside the bracket are then ordered,
-    so neither a sort of all rows nor a map of all values is held in one task.
+    The rank is narrowed down by counted bins (``sketches.exact_quantile``): no task orders an unbounded number of rows.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    margin = 4.0 / accuracy
-    sketch = rows.agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("v", [max(q - margin, 0.0), min(q + margin, 1.0)], accuracy).alias("b"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-    )
-    # Few rows: the sketch's rank is too coarse a bound, and all values are as cheap.
-    few = F.col("n") <= accuracy
-    bracket = sketch.select(
-        "n",
-        F.when(few | F.lit(q <= margin), F.col("lo")).otherwise(F.col("b")[0]).alias("lo"),
-        F.when(few | F.lit(q + margin >= 1), F.col("hi")).otherwise(F.col("b")[1]).alias("hi"),
-    )
-    below_lo = F.col("v") < F.col("lo")
-    near = (
-        rows.join(F.broadcast(bracket), F.col("v") <= F.col("hi"))
-        .groupBy("n", F.when(below_lo, F.lit(None)).otherwise(F.col("v")).alias("v"))
-        .agg(F.count("*").alias("c"))
-    )
-    upto = Window.partitionBy("n").orderBy(F.asc_nulls_first("v"))
-    ranked = near.withColumn("last", F.sum("c").over(upto) - 1)  # last 0-based rank of each value
-    position = F.lit(q) * (F.col("n") - 1)
-    low = F.min(F.when(F.col("last") >= F.floor(position), F.col("v")))
-    high = F.min(F.when(F.col("last") >= F.ceil(position), F.col("v")))
-    part = position - F.floor(position)
-    return ranked.groupBy("n").agg((low + (high - low) * F.first(part)).alias("value"))
+    n, found = exact_quantile(df, value, q, **passes)
+    return df.sparkSession.createDataFrame([(n, found)] if n else [], "n bigint, value double")
 
 
 def latency_row(df: DataFrame, seconds: str = "seconds", digits: int = 4) -> DataFrame:
     """Mean and 95th percentile of inference time."""
-    mean = df.agg(F.avg(seconds).alias("mean"), F.count(seconds).alias("n"))
-    p95 = exact_percentile(df, seconds, 0.95)
-    return mean.join(p95, "n").select(
+    n, p95 = exact_quantile(df, seconds, 0.95)
+    return df.agg(F.avg(seconds).alias("mean")).filter(F.lit(n > 0)).select(
         round_even(F.col("mean"), digits).alias("mean_seconds"),
-        round_even(F.col("value"), digits).alias("p95_seconds"),
+        round_even(F.lit(p95).cast("double"), digits).alias("p95_seconds"),
     )
 
 

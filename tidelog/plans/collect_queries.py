@@ -7,11 +7,12 @@ from tidelog.functions import rewrites
 from tidelog.functions.labeling import review_reason
 from tidelog.functions.tagging import event_type_of, service_of
 from tidelog.functions.text import cut, first_filled
-from tidelog.operators import collect, selection
+from tidelog.operators import collect, selection, sketches
 from tidelog.operators.label_templates import label_events
 from tidelog.plans import oracle_text as Q
 from tidelog.plans import views
 from tidelog.plans.registry import register
+from tidelog.session import materialize
 
 # ------------------------------------------------------------ one query per rewrite rule
 
@@ -317,6 +318,67 @@ def _stats(spark, sf_dir):
     return collect.collection_stats(pulled, collect.first_by_id(pulled, ["id"], _first_seen()))
 
 
+_RANGES = f"""with {Q.LOGS}, n as (select max(ts) as now from logs), pulled as (
+  select id, ts, platform, value, {Q.RUN_TS} as run_ts from logs
+  union all select id, ts, platform, value, {Q.RUN_TS} + interval '15 minutes' from logs, n where ts >= now - interval '12 hours'),
+ hours as (select i, date_trunc('day', now) - to_days(i::integer) as start, date_trunc('day', now) + to_days((2 - i)::integer) as "end"
+  from n, range(8) t(i)),
+ asked as (select h.start, platform, id, value from pulled join hours h on run_ts >= h.start and run_ts < h."end")"""
+
+
+def stored_sketches(spark, sf_dir):
+    """Sketches of every run and platform of pulls that overlap, written once and read again."""
+    logs = views.logs(spark, sf_dir).select("id", "ts", "platform", "value", F.expr(views.RUN_TS).alias("run_ts"))
+    tail = selection.ingested_since(logs, views.now_of(logs), 12 * 60, run_ts="ts")
+    pulled = logs.unionByName(tail.withColumn("run_ts", F.col("run_ts") + F.make_dt_interval(mins=F.lit(15))))
+    return pulled, materialize(sketches.run_sketches(pulled, ["run_ts", "platform"], "id", "value"), "run-sketches")
+
+
+def two_days(pulled):
+    """Eight spans of two days, each a day before the other, so that a run is in two of them."""
+    now = pulled.sparkSession.range(8).withColumn("now", F.lit(views.now_of(pulled, "ts")))
+    day = F.date_trunc("day", "now")
+    return now.select((day - F.make_dt_interval(F.col("id"))).alias("start"), (day + F.make_dt_interval(2 - F.col("id"))).alias("end"))
+
+
+@register(
+    "unique_ids_over_runs",
+    f"""{_RANGES} select start, platform, count(*) as collected, count(distinct id) as "unique", true as close from asked group by all""",
+)
+def _unique_over_runs(spark, sf_dir):
+    """Unique ids of overlapping spans of runs by stored sketches, held against exact counts: within 4 % (five standard errors)."""
+    pulled, kept = stored_sketches(spark, sf_dir)
+    spans = two_days(pulled)
+    found = sketches.over_ranges(kept, spans, ["platform"]).select("start", "platform", F.col("n").alias("collected"), sketches.distinct_ids().alias("about"))
+    inside = (F.col("run_ts") >= F.col("start")) & (F.col("run_ts") < F.col("end"))
+    exact = pulled.join(F.broadcast(spans), inside).groupBy("start", "platform").agg(F.count_distinct("id").alias("unique"))
+    close = F.abs(F.col("about") - F.col("unique")) <= 0.04 * F.col("unique")
+    return found.join(exact, ["start", "platform"]).select("start", "platform", "collected", "unique", close.alias("close"))
+
+
+@register(
+    "value_quantiles_over_runs",
+    f"""{_RANGES}, s as (select distinct start, platform from asked) select start, platform, q, true as close
+     from s, (select unnest([0.5, 0.95]::double[]) as q)""",
+)
+def _quantiles_over_runs(spark, sf_dir):
+    """Median and 95th percentile of spans by stored sketches: the share of values below them is within one per cent."""
+    pulled, kept = stored_sketches(spark, sf_dir)
+    spans = two_days(pulled)
+    found = sketches.over_ranges(kept, spans, ["platform"]).select(
+        "start", "end", "platform", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), sketches.quantile(q).alias("v")) for q in (0.5, 0.95)])).alias("f")
+    )
+    inside = (F.col("run_ts") >= F.col("start")) & (F.col("run_ts") < F.col("end"))
+    held = pulled.withColumnRenamed("platform", "of").join(F.broadcast(found), inside & (F.col("of") == F.col("platform")))
+    # Of values that are equal to the quantile, the rank may lie anywhere among them.
+    sums = held.groupBy("start", "platform", "f.q").agg(
+        F.count("value").alias("n"), F.count_if(F.col("value") < F.col("f.v")).alias("less"), F.count_if(F.col("value") <= F.col("f.v")).alias("upto")
+    )
+    error = F.greatest(F.col("less") / F.col("n") - F.col("q"), F.col("q") - F.col("upto") / F.col("n"))
+    # A sketch holds whole values: of n of them, a rank is met to 1 / n at best.
+    return sums.select("start", "platform", "q", (error <= 0.01 + 1 / F.col("n")).alias("close"))
+
+
 # ------------------------------------------------------------ rule labels per event
 
 
