@@ -7,6 +7,7 @@ from tidelog.functions import replies as RE
 from tidelog.operators import documents as D
 from tidelog.operators import incidents as I
 from tidelog.operators import inference as N
+from tidelog.operators import replies_store as RS
 from tidelog.operators import reports as RP
 from tidelog.operators import retrieval as R
 from tidelog.operators import selection
@@ -14,7 +15,7 @@ from tidelog.plans import oracle_text as Q
 from tidelog.plans import views
 from tidelog.plans.incident_queries import windowed
 from tidelog.plans.registry import register
-from tidelog.session import materialize
+from tidelog.session import fresh_path, materialize
 
 
 def pages(spark, sf_dir):
@@ -384,3 +385,22 @@ def _calls(spark, sf_dir):
     rows = views.logs(spark, sf_dir).select("id", PR.few_shot_prompt(F.col("message")).alias("prompt"))
     answered = N.call_model(rows, lambda text: "Error" if "refused" in text else "noise")
     return answered.select("id", RE.one_word_label(F.col("raw")).alias("label"))
+
+
+def _stand_in(text: str) -> str:
+    """Answers with the length of the prompt in words."""
+    return str(len(text.split(" ")))
+
+
+@register(
+    "stored_model_calls",
+    f"""with {Q.LOGS}, asked as (select distinct message as prompt from logs)
+     select sha256(prompt) as digest, cast(len(string_split(prompt, ' ')) as varchar) as raw from asked""",
+)
+def _stored_calls(spark, sf_dir):
+    """Replies kept for distinct log messages after two runs, of which the second repeats the first half's prompts."""
+    rows = views.logs(spark, sf_dir).select("id", F.col("message").alias("prompt"))
+    store = fresh_path(spark, "replies")
+    RS.ask(rows.filter("id % 2 = 0"), _stand_in, store, "words")
+    RS.ask(rows, _stand_in, store, "words")
+    return RS.stored(spark, store, "words").select("digest", "raw")
