@@ -1,16 +1,25 @@
 """Exact cosine top-k of queries over a vector table, and explanation records."""
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog import fixed_values as V
 from tidelog.functions.prompts import explain_prompt
 from tidelog.functions.text import cut, round_even
+from tidelog.session import materialize
 
 QUERY_BLOCK, VECTOR_PART = 1024, 8192
 _QUERIES_AT_ONCE = 64
+# Vectors that pivots are chosen from (the least hashes of ids), pivots at most, and the width of a ring in radians.
+PIVOT_SAMPLE, PIVOTS, RING = 4_096, 64, 0.05
+# What angles and cosines in floating point may be off by.
+SLACK = 1e-6
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -22,6 +31,23 @@ def _matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in vectors])
 
 
+def _best_of(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` best of ``held`` (id, vector) for each of ``asked`` (query_id, vector), slice by slice."""
+    if not len(asked) or not len(held):
+        return pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "id": held["id"].iloc[:0], "score": np.zeros(0)})
+    unit_vectors, ids = _unit(_matrix(held["vector"])), held["id"].to_numpy()
+    found = []
+    for at in range(0, len(asked), _QUERIES_AT_ONCE):
+        some = asked.iloc[at : at + _QUERIES_AT_ONCE]
+        scores = _unit(_matrix(some["vector"])) @ unit_vectors.T
+        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+        n = order.shape[1]
+        found.append(
+            pd.DataFrame({"query_id": some["query_id"].repeat(n).to_numpy(), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+        )
+    return pd.concat(found)
+
+
 def top_passages(
     queries: DataFrame, vectors: DataFrame, k: int = V.TOP_PASSAGES, block: int = QUERY_BLOCK, part: int = VECTOR_PART
 ) -> DataFrame:
@@ -40,19 +66,7 @@ def top_passages(
         return df.select(key, "vector", F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), every.alias(other))
 
     def cell(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "id": held["id"].iloc[:0], "score": np.zeros(0)})
-        unit_vectors, ids = _unit(_matrix(held["vector"])), held["id"].to_numpy()
-        found = []
-        for at in range(0, len(asked), _QUERIES_AT_ONCE):
-            some = asked.iloc[at : at + _QUERIES_AT_ONCE]
-            scores = _unit(_matrix(some["vector"])) @ unit_vectors.T
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            n = order.shape[1]
-            found.append(
-                pd.DataFrame({"query_id": some["query_id"].repeat(n).to_numpy(), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-            )
-        return pd.concat(found)
+        return _best_of(asked, held, k)
 
     left = deal(queries, "query_id", "_block", blocks, "_part", parts).groupBy("_block", "_part")
     right = deal(vectors, "id", "_part", parts, "_block", blocks).groupBy("_block", "_part")
@@ -61,6 +75,184 @@ def top_passages(
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def pivots_of(vectors: DataFrame, sample: int = PIVOT_SAMPLE, most: int = PIVOTS) -> np.ndarray:
+    """Unit vectors that lie apart: of a sample of at most ``sample`` rows (least hashes of ids), farthest first.
+
+    The sample only decides how well parts can be told apart, not what is searched.
+    """
+    rows = vectors.filter(_usable("vector")).orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
+    if not rows:
+        return np.zeros((0, 0))
+    unit = _unit(_matrix([r["vector"] for r in rows]))
+    unit = unit[np.any(unit != 0, axis=1)]
+    chosen, nearest = [], np.full(len(unit), -2.0)
+    while len(unit) and len(chosen) < min(most, max(1, int(len(unit) ** 0.5))):
+        at = int(np.argmin(nearest)) if chosen else 0
+        if chosen and nearest[at] > 1 - 1e-9:
+            break
+        chosen.append(unit[at])
+        nearest = np.maximum(nearest, unit @ unit[at])
+    return np.array(chosen)
+
+
+def _usable(vector: str):
+    return F.col(vector).isNotNull() & (F.size(vector) > 0)
+
+
+def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_unit(rows) @ pivots.T, -1.0, 1.0))
+
+
+def _placed(vectors: DataFrame, pivots: np.ndarray, ring: float) -> DataFrame:
+    """``vectors`` with the nearest pivot, the angle to it and its ring; a vector of zeros has pivot -1."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _matrix(batch.column("vector").to_pylist())
+            angles = _angles(rows, pivots)
+            near = angles.argmin(axis=1)
+            angle = angles[np.arange(len(rows)), near]
+            zero = ~rows.any(axis=1)
+            near, angle = np.where(zero, -1, near), np.where(zero, 0.0, angle)
+            made = [pa.array(near, pa.int32()), pa.array((angle / ring).astype(np.int32)), pa.array(angle, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "pivot", "ring", "angle"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
+    return vectors.mapInArrow(place, f"{fields}, pivot int, ring int, angle double")
+
+
+@dataclass
+class PrunedSearch:
+    """The hits, and how many pairs of a query and a vector there are and were compared."""
+
+    hits: DataFrame
+    pairs: int
+    compared: int
+
+
+def search_by_pivots(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int = V.TOP_PASSAGES,
+    ring: float = RING,
+    part: int = VECTOR_PART,
+    block: int = QUERY_BLOCK,
+    sample: int = PIVOT_SAMPLE,
+    most: int = PIVOTS,
+) -> PrunedSearch:
+    """The rows of ``top_passages``, found without comparing a query with parts that the triangle inequality rules out.
+
+    A vector belongs to its nearest pivot and to a ring of angles around it; a part is some rings, or a slice of one, of about ``part``
+    vectors. The angle between a query and any vector of a part is at least the distance of the query's own angle to the
+    pivot from the part's angles, so the cosine is at most that angle's cosine. First, each query meets the parts with the
+    best bounds that together hold ``k`` vectors; its k-th score is then a lower bound of the true one, and it meets
+    only those other parts whose bound reaches it. Where nothing can be ruled out, it meets all, and the result is the same.
+
+    Only ids of pairs (query, part) and numbers of parts are shuffled beside the vectors, which move once to their part; a
+    query's vector goes to the parts that it meets, in blocks of about ``block`` queries. Parts are described by five numbers
+    each, about as many as vectors / ``part``. Equal vectors share a bound: a query that is near them meets all of them. Null and empty vectors take no part; a vector of zeros
+    has cosine 0 with everything.
+    """
+    spark = vectors.sparkSession
+    id_type = vectors.schema["id"].dataType.simpleString()
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    vectors = vectors.filter(_usable("vector")).select("id", "vector")
+    queries = queries.filter(_usable("vector")).select("query_id", "vector")
+    hit_schema = f"query_id {query_type}, id {id_type}, score double"
+    total = vectors.count()
+    if not total:
+        return PrunedSearch(spark.createDataFrame([], f"{hit_schema}, rank int"), 0, 0)
+    # A pivot is worth it from an eighth of a part on: a small table is one part, and the search the plain one.
+    pivots = pivots_of(vectors, sample, min(most, max(1, 8 * total // part)))
+    if not len(pivots):  # vectors of zeros only
+        pivots = np.eye(1, len(vectors.first()["vector"]))
+    placed = _placed(vectors, pivots, ring)
+    counts = placed.groupBy("pivot", "ring").agg(F.count("*").alias("n"))
+    # Thin neighbouring rings become one part, thick ones are sliced: a row for each of a pivot's pi / ring rings at most.
+    inner = F.sum("n").over(Window.partitionBy("pivot").orderBy("ring")) - F.col("n")
+    slices = counts.select("pivot", "ring", F.floor(inner / part).alias("merged"), F.ceil(F.col("n") / part).cast("int").alias("slices"))
+    sliced = placed.join(F.broadcast(slices), ["pivot", "ring"]).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    sliced = sliced.withColumn("ring", F.col("merged").cast("int"))
+    index = materialize(sliced.select("pivot", "ring", "slice", "id", "vector", "angle"), "pivot-parts")
+    parts = index.groupBy("pivot", "ring", "slice").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    parts = parts.orderBy("pivot", "ring", "slice").toPandas()
+    pivot, n, lo, hi = (parts[c].to_numpy() for c in ("pivot", "n", "lo", "hi"))
+    sent = spark.sparkContext.broadcast((pivots, pivot, n, lo, hi))
+
+    def bounds(rows: np.ndarray) -> np.ndarray:
+        """The greatest cosine that each row may reach in each part, a little too great rather than too small."""
+        pivots, pivot, _, lo, hi = sent.value
+        angles = _angles(rows, pivots)[:, np.maximum(pivot, 0)]
+        gap = np.maximum(np.maximum(lo - angles, angles - hi) - SLACK, 0.0)
+        best = np.cos(np.minimum(gap, np.pi)) + SLACK
+        best[:, pivot < 0] = SLACK
+        best[~rows.any(axis=1)] = SLACK
+        return best
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sent.value[2]
+        for batch in batches:
+            for a in range(0, batch.num_rows, _QUERIES_AT_ONCE):
+                some = batch.slice(a, _QUERIES_AT_ONCE)
+                order = np.argsort(-bounds(_matrix(some.column(1).to_pylist())), axis=1, kind="stable")
+                before = np.cumsum(n[order], axis=1) - n[order]
+                at, place = np.nonzero(before < k)
+                yield _pairs(some, at, order[at, place])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sent.value[2]
+        for batch in batches:
+            for a in range(0, batch.num_rows, _QUERIES_AT_ONCE):
+                some = batch.slice(a, _QUERIES_AT_ONCE)
+                best = bounds(_matrix(some.column(1).to_pylist()))
+                order = np.argsort(-best, axis=1, kind="stable")
+                reached = np.nan_to_num(some.column(2).to_numpy(zero_copy_only=False).astype(float), nan=-2.0)
+                asked = best >= reached[:, None]
+                met = np.cumsum(n[order], axis=1) - n[order] < k
+                rows = np.arange(len(order))[:, None]
+                asked[rows, order] &= ~met
+                yield _pairs(some, *np.nonzero(asked))
+
+    def _pairs(some: pa.RecordBatch, at: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+        rows = some.select(["query_id", "vector"]).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(of, pa.int32())], names=["query_id", "vector", "part"])
+
+    def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        return _best_of(asked, held, k)
+
+    number = {key: i for i, key in enumerate(zip(parts["pivot"], parts["ring"], parts["slice"]))}
+    names = spark.createDataFrame([(int(a), int(b), int(c), i) for (a, b, c), i in number.items()], "pivot int, ring int, slice int, part int")
+    numbered = index.join(F.broadcast(names), ["pivot", "ring", "slice"]).select("part", "id", "vector")
+    pair_schema = f"query_id {query_type}, vector {queries.schema['vector'].dataType.simpleString()}, part int"
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """The k best of each query within each part that it meets."""
+        many = pairs.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        left = pairs.join(F.broadcast(many), "part").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+        right = numbered.join(F.broadcast(many), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        grouped = left.select("part", "block", "query_id", "vector").groupBy("part", "block")
+        return grouped.cogroup(right.select("part", "block", "id", "vector").groupBy("part", "block")).applyInPandas(compare, hit_schema)
+
+    sizes = spark.createDataFrame([(i, int(c)) for i, c in enumerate(n)], "part int, n bigint")
+
+    def compared(pairs: DataFrame) -> int:
+        return pairs.join(F.broadcast(sizes), "part").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
+
+    def best(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    one = materialize(queries.mapInArrow(first, pair_schema), "first-pairs")
+    early = materialize(met(one), "first-hits")
+    reached = best(early).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    two = materialize(queries.join(reached, "query_id", "left").select("query_id", "vector", "reached").mapInArrow(rest, pair_schema), "other-pairs")
+    hits = best(early.unionByName(met(two)))
+    return PrunedSearch(hits, queries.count() * int(n.sum()), compared(one) + compared(two))
+
+
 def with_payload(hits: DataFrame, passages: DataFrame) -> DataFrame:
     """Add text, source and platform of the passage; the score is shown with three digits."""
     shown = hits.withColumn("score", round_even(F.col("score"), 3))

@@ -14,7 +14,7 @@ from tidelog.operators import selection
 from tidelog.plans import oracle_text as Q
 from tidelog.plans import views
 from tidelog.plans.incident_queries import windowed
-from tidelog.plans.registry import register
+from tidelog.plans.registry import ORACLES, register
 from tidelog.session import fresh_path, materialize
 
 
@@ -113,6 +113,14 @@ def _search_many(spark, sf_dir):
     return hits.select("query_id", "id", "rank", F.bround("score", 3).alias("score"))
 
 
+@register("passage_search_by_pivots", ORACLES["passage_search_many"])
+def _search_by_pivots(spark, sf_dir):
+    """The same hits; parts that cannot hold one of a query's best are left out."""
+    rows = embeddings(spark, sf_dir)
+    hits = R.search_by_pivots(rows.select(F.col("id").alias("query_id"), "vector"), rows, part=512).hits
+    return hits.select("query_id", "id", "rank", F.bround("score", 3).alias("score"))
+
+
 _PAYLOAD = "payload as (select doc_id as id, text, source, lang as platform from documents)"
 _HITS = f"""with {_EMB}, {_CENTROIDS}, {_TOP.format(k=3)}, {_PAYLOAD},
   full_hits as (select query_id, rank, round_even(score, 3) as score, text, source, platform
