@@ -1,14 +1,16 @@
 """TF-IDF classifiers on Spark ML: shared features, four classifiers, scoring, saving, cross-validation."""
 
-import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IndexToString, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -50,11 +52,14 @@ class LogCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, D
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        @F.udf(VectorUDT())
-        def log_counts(v: SparseVector):
-            return Vectors.sparse(v.size, v.indices, [1.0 + math.log(x) for x in v.values])
-
-        return dataset.withColumn(self.getOutputCol(), log_counts(F.col(self.getInputCol())))
+        @F.arrow_udf(VectorUDT())
+        def log_counts(v: pa.Array) -> pa.Array:
+            offsets = np.append(0, np.cumsum(v.field("values").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int32)
+            logs = 1.0 + np.log(pc.list_flatten(v.field("values")).to_numpy(zero_copy_only=False))
+            counts = [v.field("type"), v.field("size"), v.field("indices"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(logs), v.type.field("values").type)]
+            return pa.StructArray.from_arrays(counts, fields=list(v.type))
+
+        return dataset.withColumn(self.getOutputCol(), log_counts(F.unwrap_udt(F.col(self.getInputCol()))))
 
 
 class SmoothIdf(Estimator, HasInputCol, HasOutputCol):
