@@ -91,26 +91,47 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(rows.unionByName(more)))
 
 
-def _canonical_sql() -> str:
-    text = f"regexp_replace(translate(text, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
-    text = f"trim(regexp_replace({text}, '{licenses.BETWEEN_WORDS}', ' ', 'g'))"
-    for pattern, put in licenses.SPELLINGS:
-        text = f"regexp_replace({text}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
-    for word, put in licenses.WHOLE_WORDS:
-        text = f"replace({text}, '{word}', '{put}')"
-    return text
+# The form of a licence, written from its rule line by line and not from the library's patterns.
+_LICENSE_FORM = """
+  trim(regexp_replace(regexp_replace({0}, '[\\x00-\\x1F\\x21-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{{A0}}\\x{{AB}}\\x{{BB}}\\x{{2000}}-\\x{{206F}}\\x{{3000}}-\\x{{3003}}]', ' ', 'g'), ' +', ' ', 'g'))"""
+_LICENSE_SPELLINGS = [
+    ("licence", "license"), ("offence", "offense"), ("defence", "defense"),
+    *[(f"{x}s", f"{x}z") for x in "authori capitali categori customi emphasi initiali maximi minimi optimi organi reali recogni summari utili".split()],
+    *[(f"{x}our", f"{x}or") for x in "behavi col fav hon lab".split()], *[(f"{x}ogue", f"{x}og") for x in "anal catal dial".split()],
+    *[(f"{x}l{y}", f"{x}{y}") for x in "cancel label model signal".split() for y in ("ed", "ing")], ("acknowledgement", "acknowledgment"), ("judgement", "judgment"),
+    ("centre ", "center "), ("sub license", "sublicense"), *[(f"non {x}", f"non{x}") for x in ("commercial", "exclusive", "infringement")],
+    ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("https", "http"),
+]
 
 
-def _known_sql() -> str:
-    rows = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in license_texts.TEXTS.items())
-    return f"select sha256({_canonical_sql()}) as license_digest, min(license_id) as license_id from (values {rows}) t(license_id, text) group by 1"
+def _license_form(text: str) -> str:
+    made = f"({_LICENSE_FORM.format(text)} || ' ')"
+    for old, new in _LICENSE_SPELLINGS:
+        made = f"replace({made}, '{old}', '{new}')"
+    return f"sha256(trim({made}))"
+
+
+_KNOWN_TEXTS = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in license_texts.TEXTS.items())
 
 
 @register(
     "op10_licenses",
     f"""
-    with known as ({_known_sql()}), digests as (select doc_id, sha256({_canonical_sql()}) as license_digest from documents)
-    select doc_id, license_digest, license_id from digests left join known using (license_digest)""",
+    with texts as (
+      select null::bigint as doc_id, name, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from (values {_KNOWN_TEXTS}) t(name, text)
+      union all
+      select doc_id, null, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from documents),
+    lines as (
+      select doc_id, name, low, [l for l in string_split(low, chr(10)) if not (
+        (regexp_matches(l, '^[ \t*#/;!%|>-]*copyright[ \t]*:?[ \t]+[^ \t\r\f\x0B]') and not regexp_matches(l, '^[ \t*#/;!%|>-]*copyright[ \t]*:?[ \t]+({"|".join(licenses.IN_SENTENCES)})([^a-z0-9]|$)'))
+        or regexp_matches(l, '^[ \t*#/;!%|>-]*(©|\(c\)[ \t]*(copyright|19[0-9][0-9]|20[0-9][0-9])|all rights reserved[ \t\r.]*$)'))] as kept
+      from texts),
+    forms as (
+      select doc_id, name, {_license_form("array_to_string(kept, chr(10))")} as cut, {_license_form("low")} as whole from lines),
+    known as (select digest, min(name) as license_id from (select cut as digest, name from forms where name is not null union all select whole, name from forms where name is not null)
+      where digest <> sha256('') group by 1)
+    select f.doc_id, f.cut as license_digest, coalesce(a.license_id, b.license_id) as license_id
+    from forms f left join known a on a.digest = f.cut left join known b on b.digest = f.whole where f.name is null""",
 )
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
