@@ -212,6 +212,29 @@ def test_benchmark_passages_equal_brute_force(spark, block):
     assert have == sorted(want) and sum(w[2] for w in want) > 50
 
 
+@pytest.mark.parametrize("block, sent", [(500_000, 500_000), (400, 9)])
+def test_items_that_repeat_a_text_and_long_items(spark, monkeypatch, block, sent):
+    """One text under many ids, an item longer than a block, equal texts in other cases, null and repeated ids: in blocks as whole."""
+    monkeypatch.setattr(fmindex, "SENT_IDS", sent)
+    monkeypatch.setattr(fmindex, "PASSES", 3)
+    rows = [(r[0], " ".join(r[1].split()[:400]), *r[2:]) if r[1] else r for r in corpus()]
+    whole = [ALNUM.findall(r[1]) for r in rows if r[1] and len(ALNUM.findall(r[1])) > 30]
+    long = ([w for x in whole for w in x] * 3)[:1500]
+    items = [(100 + i, " ".join(whole[0][2:20])) for i in range(40)] + [(1, " - ".join(long)), (2, " ".join(long[:400]).upper()), (None, " ".join(whole[0][2:20])), (3, " ".join(whole[1][:21])), (3, " ".join(whole[2][:10])), (4, "")]
+    found = fmindex.find_phrases(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, ITEMS), block_words=block)
+    got = found.select("doc_id", "n_words", "item_ids", *fmindex.hit_counts(found)).collect()
+    have = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got)
+    assert have == sorted((d, len(w), sum(h), i) for d, w, h, i in brute_hits(rows, items))
+
+
+def test_blocks_of_phrases_are_bounded(spark):
+    """A text repeated by every item and an item of many words: no block holds much more than asked for."""
+    items = [(i, "one text that all the items have in common here") for i in range(3000)] + [(9000, " ".join(f"w{i}" for i in range(20_000)))]
+    pieces = fmindex._pieces(spark.createDataFrame(items, ITEMS), 10, 1000).collect()
+    assert max(r["n"] for r in pieces) == 125 and sum(r["n"] for r in pieces) < 23_000
+    assert sum(len(r["ids"]) for r in pieces if 9000 not in map(int, r["ids"])) == 3000
+
+
 def test_benchmark_passages_are_cut(spark):
     rows = corpus()
     items = items_of(rows)

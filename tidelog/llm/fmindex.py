@@ -9,8 +9,10 @@ words are merged per document.
 
 A phrase is ``window`` consecutive words of an item, or the whole item if it has fewer (but any) words.
 
-Phrases reach the tasks in blocks of at most ``block_words`` words, the size of which is counted first. A test set of several
-blocks takes several passes over the documents, each adding to the spans; no limit cuts it off.
+Phrases reach the tasks in blocks of about ``block_words`` words and ``SENT_IDS`` ids, both counted first. Items of one text are
+one phrase source with a list of ids, split where the list is long; an item longer than an eighth of a block is cut into pieces
+that overlap by all but one word of a window. A test set of several blocks takes several passes over the documents, each adding
+to the spans; no limit cuts it off.
 
 Edge cases: null or empty text has no words; null items and items without words have no phrase; a null ``item_id`` is left
 out of the list of items but its phrases are hit; rows that repeat an item are one item; an empty table of either kind
@@ -29,10 +31,15 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import words
 from tidelog.llm.memory import released
+from tidelog.session import materialize
 
 WINDOW = 10
-# Words of test phrases sent to the tasks at once (about 100 bytes each), and words of one shard.
-BLOCK_WORDS, SHARD_WORDS = 500_000, 250_000
+# Words of test phrases sent to the tasks at once (about 100 bytes each), ids sent with them, and words of one shard.
+BLOCK_WORDS, SENT_IDS, SHARD_WORDS = 500_000, 500_000, 250_000
+# Passes over the documents in one job; after them the documents are stored with what was found.
+PASSES = 8
+# What stands between words once A-Z are in lower case.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SAMPLE = 8
 ADDED = ["n_words", "spans", "item_ids"]
 
@@ -154,11 +161,11 @@ class Phrases:
 
     vocabulary: np.ndarray
     by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    names: list[str | None]
+    names: list[list[str]]
 
 
-def phrases_of(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Phrases:
-    cut = words.cut([t or "" for _, t in items], lower=True, alnum=True)
+def phrases_of(items: list[tuple[list[str], str]], window: int = WINDOW) -> Phrases:
+    cut = words.cut([t for _, t in items], lower=True, alnum=True)
     vocabulary, symbols = np.unique(cut.hashes, return_inverse=True)
     symbols = symbols.astype(np.int64) + 1
     found: dict[int, dict[tuple, set[int]]] = {}
@@ -230,20 +237,39 @@ def find_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_
     sorted); ``items`` has item_id and text."""
     if clash := [c for c in ADDED if c in docs.columns]:
         raise ValueError(f"columns {clash} are made here")
-    spark = docs.sparkSession
-    sized = items.filter("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = sized.agg(F.coalesce(F.sum(F.size(F.split("text", "[\\x00-/:-@\\[-`{-\\x7F]+"))), F.lit(0))).first()[0]
-    blocks = total // block_words + 1
+    pieces = _pieces(items, window, block_words)
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids")).first()
+    blocks = max(total["n"] // block_words, total["ids"] // SENT_IDS) + 1
+    if blocks > 1:
+        pieces = materialize(pieces.withColumn("block", F.pmod(F.xxhash64("ids", "text"), F.lit(blocks))), "phrases")
     out = docs.withColumns({
         "n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<start:bigint,end:bigint>>"), "item_ids": F.array().cast("array<string>"),
     })
     for k in range(blocks):
-        block = sized if blocks == 1 else sized.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        rows = [(r["item_id"], r["text"]) for r in block.collect()]  # at most about block_words words
-        out = _pass(out, spark.sparkContext.broadcast(phrases_of(rows, window)))
+        block = pieces if blocks == 1 else pieces.filter(F.col("block") == k)
+        rows = [(r["ids"], r["text"]) for r in block.select("ids", "text").collect()]  # about block_words words and SENT_IDS ids
+        out = _pass(out, docs.sparkSession.sparkContext.broadcast(phrases_of(rows, window)))
+        if k % PASSES == PASSES - 1 and k + 1 < blocks:
+            out = materialize(out, "found")
     return out
 
 
+def _pieces(items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """(ids, text, n): each distinct text of ``items``, or its pieces, with its number of words and the ids of the items that have
+    it; more than about ``SENT_IDS`` ids are dealt to several rows."""
+    sized = items.filter("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    parts = sized.count() // SENT_IDS + 1
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+    texts = sized.groupBy(F.sha2("text", 256).alias("digest"), part.alias("part")).agg(F.first("text").alias("text"), F.sort_array(F.collect_set("item_id")).alias("ids"))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = texts.withColumn("words", F.filter(F.split(lower, _BETWEEN), lambda w: w != "")).withColumn("n", F.size("words"))
+    most = max(block_words // 8, 2 * window)
+    step = most - window + 1
+    some = F.transform(F.sequence(F.lit(0), F.col("n") - window, F.lit(step)), lambda i: F.array_join(F.slice("words", i + 1, most), " "))
+    long = cut.withColumn("text", F.explode(F.when(F.col("n") > most, some).otherwise(F.array("text"))))
+    return long.filter("n > 0").select("ids", "text", F.least("n", F.lit(most)).cast("long").alias("n"))
+
+
 def _pass(docs: DataFrame, sent) -> DataFrame:
     at = docs.columns.index("text")
 
@@ -256,7 +282,7 @@ def _pass(docs: DataFrame, sent) -> DataFrame:
                 n_words, spans, items = search_shard(texts[a:b], phrases)
                 were = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("spans", "item_ids")]
                 merged = [_merge(w, s) if len(w) or len(s) else [] for w, s in zip(were[0], spans)]
-                named = [sorted({*w, *(phrases.names[i] for i in x if phrases.names[i] is not None)}) if len(w) or len(x) else [] for w, x in zip(were[1], items)]
+                named = [sorted({*w, *(n for i in x for n in phrases.names[i])}) if len(w) or len(x) else [] for w, x in zip(were[1], items)]
                 made = {
                     "n_words": pa.array(n_words, pa.int64()),
                     "spans": pa.array([[{"start": s, "end": e} for s, e in m] for m in merged], part.schema.field("spans").type),
