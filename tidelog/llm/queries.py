@@ -116,7 +116,7 @@ _KNOWN_TEXTS = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t
 
 @register(
     "op10_licenses",
-    f"""
+    rf"""
     with texts as (
       select null::bigint as doc_id, name, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from (values {_KNOWN_TEXTS}) t(name, text)
       union all
