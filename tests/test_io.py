@@ -146,6 +146,20 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert sum(r["n"] for r in alerts) == 5 and {r["channel"] for r in alerts} == {"daily"}
 
 
+def test_earlier_copies_are_looked_for_by_day(spark, tmp_path):
+    """A row from long ago makes only its own days read; rows without a time, and days next to the batch's, are looked at."""
+    rows = "id string, timestamp timestamp, batch_id int, event_day date"
+    written = [("old", "2020-01-01", 0), ("far", "2022-06-01", 0), ("near", "2024-01-01", 0), ("same", "2024-01-02", 1), ("none", None, 0), ("later", "2024-01-02", 3)]
+    table = spark.createDataFrame(written, "id string, day string, batch_id int").withColumn("timestamp", F.expr("cast(day as timestamp)")).withColumn("event_day", F.to_date("day"))
+    table.select(*[x.split()[0] for x in rows.split(", ")]).write.partitionBy("batch_id", "event_day").parquet(str(tmp_path / "p"))
+    batch = spark.sql("select 'x' as id, timestamp '2020-01-01 05:00:00' as timestamp union all select 'y', timestamp '2024-01-02 01:00:00'")
+    found = ingest._earlier_ids(batch, str(tmp_path / "p"), 3)
+    assert sorted(r["id"] for r in found.collect()) == ["near", "none", "old", "same"]
+    assert "PartitionFilters: [" in (plan := found._jdf.queryExecution().toString()) and "event_day" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    untimed = ingest._earlier_ids(batch.withColumn("timestamp", F.lit(None).cast("timestamp")), str(tmp_path / "p"), 3)
+    assert [r["id"] for r in untimed.collect()] == ["none"]
+
+
 def test_stream_dedupe_drops_old_state(spark, tmp_path):
     """Copies go, rows without an id stay, and the watermark moves although no such row comes late."""
     schema = "id string, timestamp timestamp"

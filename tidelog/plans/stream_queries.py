@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tidelog.functions.rewrites import template_of
+from tidelog.functions.rewrites import second_pass, template_of
 from tidelog.functions.scoring import risk_score
 from tidelog.functions.tagging import service_of
+from tidelog.operators import complement_bayes as CB
+from tidelog.operators import terms as T
 from tidelog.plans import oracle_text as Q
 from tidelog.plans import views
 from tidelog.plans.label_queries import TEMPLATES, templates
@@ -204,6 +206,65 @@ def _alerts(spark, sf_dir):
     return scored.crossJoin(alerted)  # one row each
 
 
+_MODEL_CLASSES = ["error", "important", "noise", "security_noise"]
+_IN_CLASSES = ", ".join(f"'{c}'" for c in _MODEL_CLASSES)
+
+
+def _terms_sql(name, rows):
+    return f"""{name}_words as (select template, regexp_extract_all(lower(template), '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from {rows}),
+ {name} as (select template, term, count(*) as tf from (
+  select template, unnest(w) as term from {name}_words
+  union all select template, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) as term from {name}_words)
+  group by all)"""
+
+
+def _per_class(form, between=", "):
+    return between.join(form.format(i=i, c=c) for i, c in enumerate(_MODEL_CLASSES))
+
+
+@register(
+    "stream_model_scores",
+    f"""with {TEMPLATES}, trained as (select template, label from templates where label in ({_IN_CLASSES})),
+ {_terms_sql('seen', 'trained')},
+ vocab as (select term, ln((1 + (select count(*) from trained)) / (1 + count(*))) + 1 as idf from seen group by term having count(*) >= 2),
+ seen_raw as (select template, seen.term, tf * idf as x from seen join vocab using (term)),
+ seen_w as (select template, term, x / sqrt(sum(x * x) over (partition by template)) as w from seen_raw),
+ fc as (select v.term, coalesce(sum(w), 0) as a, {_per_class("coalesce(sum(w) filter (where label = '{c}'), 0) as c{i}")}
+  from vocab v left join (seen_w join trained using (template)) x on x.term = v.term group by v.term),
+ model as (select term, {_per_class("-ln((a - c{i} + 1) / sum(a - c{i} + 1) over ()) as w{i}")} from fc),
+ plain as (select {Q._view(views.LOG_COLUMNS)} from events),
+ asked as (select id, {Q.second(Q.template('message'))} as template from plain),
+ kinds as (select distinct template from asked where template is not null),
+ {_terms_sql('found', 'kinds')},
+ found_raw as (select template, found.term, tf * idf as x from found join vocab using (term)),
+ found_w as (select template, term, x / sqrt(sum(x * x) over (partition by template)) as w from found_raw),
+ sums as (select template, {_per_class("sum(w * w{i}) as s{i}")} from found_w join model using (term) group by template),
+ filled as (select k.template, {_per_class("coalesce(s{i}, 0) as s{i}")} from kinds k left join sums using (template)),
+ topped as (select *, greatest({_per_class("s{i}")}) as top from filled),
+ called as (select template, case {_per_class("when s{i} = top then '{c}'", " ")} end as best, 1 / ({_per_class("exp(s{i} - top)", " + ")}) as conf from topped),
+ final as (select template, case when conf < 0.8 then 'anomaly' else best end as predicted_label, round_even(conf, 3) as confidence from called)
+ select id, predicted_label, confidence, {Q.risk('predicted_label')} as risk_score from asked left join final using (template)""",
+)
+def _model_scores(spark, sf_dir):
+    """Overlapping pulls scored by a Bayes model fitted on the labeled templates before the stream starts."""
+    trained = templates(spark, sf_dir).filter(F.col("label").isin(_MODEL_CLASSES)).select(F.col("template").alias("doc_id"), F.col("template").alias("text"), "label")
+    vocabulary = T.fit_vocabulary(trained.select("doc_id", "text"))
+    model = CB.fit(T.tfidf(trained.select("doc_id", "text"), vocabulary), trained, vocabulary, _MODEL_CLASSES)
+
+    def score(batch):
+        templated = batch.withColumn("template", second_pass(template_of(F.col("message"), views.HOST_PATTERN)))
+        return CB.score_events(templated, vocabulary, model, _MODEL_CLASSES, threshold=0.8)
+
+    rows = _event_table(spark, sf_dir).drop("predicted_label")
+    pulls = rows.withColumn("pull", F.explode(F.array((F.col("id") % 3).cast("int"), ((F.col("id") + 1) % 3).cast("int"))))
+    out = fresh_path(spark, "stream-model")
+    pulls.repartition("pull").write.partitionBy("pull").parquet(f"{out}/pulls")
+    schema = spark.read.parquet(f"{out}/pulls").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/pulls").drop("pull")
+    ingest.start_scoring(stream, score, out, f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/predictions").select("id", "predicted_label", "confidence", "risk_score")
+
+
 def _event_table(spark, sf_dir):
     """What ``_event_stream`` streams, as a table."""
     label = F.expr(views.PREDICTED_LABEL.format(type="event_type_raw", id="id"))

@@ -5,6 +5,7 @@ of the batch id, so a retried batch leaves the same rows as one that ran once.
 """
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from tidelog.operators.selection import incidents
 from tidelog.sources.events import flatten_envelopes
 
 PULL_RANGE = "3 hours"  # runs overlap by this much, so copies and late rows come within it
+DAY = "event_day"  # partition of predictions below their batch; null for rows without a time
+NAMED_DAYS = 1_000  # days of one batch up to which earlier days are read by name
 
 
 def envelope_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -59,7 +62,9 @@ def start_scoring(
     written; incidents of the batch become alert rows.
 
     Copies are counted down before they are shuffled, so one id that fills a third of a batch is no
-    hot spot; a keyed state operator would receive all of its rows.
+    hot spot; a keyed state operator would receive all of its rows. Predictions lie by batch and day of
+    the event, so looking for earlier copies reads the days the batch has rows of, not all that was
+    ever written. Columns named ``batch_id`` or ``event_day`` are made here; ``score`` keeps id and timestamp.
     """
     predictions, alert_path = f"{out}/predictions", f"{out}/alerts"
 
@@ -69,9 +74,8 @@ def start_scoring(
         if batch_id > 0:
             unique = unique.join(_earlier_ids(batch, predictions, batch_id), "id", "left_anti")
         scored = score(unique)
-        _replace_batch(scored, predictions, batch_id)
-        schema = StructType(scored.schema.fields).add("batch_id", "integer")
-        written = spark.read.schema(schema).parquet(predictions).filter(F.col("batch_id") == batch_id)
+        scored.withColumn(DAY, F.to_date("timestamp")).write.mode("overwrite").partitionBy(DAY).parquet(f"{predictions}/batch_id={batch_id}")
+        written = spark.read.schema(scored.schema).parquet(f"{predictions}/batch_id={batch_id}").withColumn("batch_id", F.lit(batch_id))
         found = incidents(written).withColumnRenamed("timestamp", "ts")
         _replace_batch(alerts(found, ["batch_id"]).drop("batch_id"), alert_path, batch_id)
 
@@ -81,13 +85,14 @@ def start_scoring(
 
 
 def _earlier_ids(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Ids that earlier batches wrote and that may be delivered again: not older than the batch's rows, or without a time."""
-    schema = StructType(batch.select("id", "timestamp").schema.fields).add("batch_id", "integer")
-    oldest = batch.agg(F.min("timestamp")).scalar()
-    return (
-        batch.sparkSession.read.schema(schema)
-        .parquet(path)
-        .filter((F.col("batch_id") < batch_id) & (F.col("timestamp").isNull() | (F.col("timestamp") >= F.lit(oldest))))
-        .select("id")
-        .distinct()
-    )
+    """Ids of earlier batches that the batch may bring again: of the days of its rows, a day either side, or without a time.
+
+    A single row from long ago adds its own days only. With more days than ``NAMED_DAYS`` all are read."""
+    timed = batch.filter(F.col("timestamp").isNotNull()).select(F.to_date("timestamp").alias("d"))
+    days = [r["d"] for r in timed.distinct().limit(NAMED_DAYS + 1).collect()]
+    schema = StructType(batch.select("id", "timestamp").schema.fields).add("batch_id", "integer").add(DAY, "date")
+    earlier = batch.sparkSession.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
+    if len(days) <= NAMED_DAYS:
+        near = sorted({d + timedelta(n) for d in days for n in (-1, 0, 1) if date.min < d < date.max})
+        earlier = earlier.filter(F.col(DAY).isNull() | F.col(DAY).isin(near))
+    return earlier.select("id").distinct()
