@@ -96,6 +96,14 @@ def test_html_files(spark, tmp_path):
     assert sorted((r["platform"], r["html"]) for r in rows) == [("hyperv", "<body>y</body>"), ("vmware", "<body>é</body>")]
 
 
+def test_real_replacement_characters_stay(spark, tmp_path):
+    """Bytes that are not UTF-8 go; U+FFFD and private characters that the page has stay."""
+    (tmp_path / "docs" / "esxi").mkdir(parents=True)
+    content = "a\ufffdb\ue000b\ue000a \ufffd".encode() + b"\xff\xc3|\xef\xbf" + "\ue000".encode() + b"\xfeb"
+    (tmp_path / "docs" / "esxi" / "p.html").write_bytes(content)
+    assert pages.read_html(spark, str(tmp_path / "docs")).first()["html"] == "a\ufffdb\ue000b\ue000a \ufffd|\ue000b"
+
+
 def test_vectors_reports_evaluation(spark, tmp_path):
     chunks = spark.createDataFrame([("s", "p", 0, "t", [1.0])], "source string, platform string, chunk_id int, text string, vector array<float>")
     for _ in range(2):
