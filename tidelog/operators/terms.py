@@ -11,6 +11,7 @@ from tidelog.operators.joins import lookup_join
 from tidelog.session import materialize
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+TASK_BYTES = 8 << 20  # of text
 
 
 def tokens(text: Column) -> Column:
@@ -24,15 +25,31 @@ def bigrams(words: Column) -> Column:
     return F.zip_with(first, second, lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def doc_terms(documents: DataFrame) -> DataFrame:
-    """(doc_id, term, tf): counts.
+def tasks(documents: DataFrame, text: str = "text") -> int:
+    """Partitions for the terms of ``documents``: eight megabytes of text each, and the session's number at least."""
+    size = documents.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
-    Texts are spread by document before they are exploded. Counting by (document, term), and later
-    scaling by document, then need no further shuffle of the much larger term rows.
+
+def doc_terms(documents: DataFrame, partitions: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, term, tf): counts. ``also`` are columns that ``doc_id`` decides; they are kept.
+
+    A document's terms are sorted and its runs counted within its row, so a task holds one document at a time and not a table of
+    all its terms. Texts are spread by document before; nothing later that goes by document needs a further shuffle of the much
+    larger term rows. The outer generator spares the filter on the size of its array, which would count each document twice.
     """
-    words = documents.select("doc_id", "text").repartition("doc_id").select("doc_id", tokens(F.col("text")).alias("_words"))
-    exploded = words.select("doc_id", F.explode(F.concat("_words", bigrams(F.col("_words")))).alias("term"))
-    return exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    spread = documents.select("doc_id", "text", *also)
+    spread = spread.repartition(partitions or tasks(documents), "doc_id")
+    texts = spread.groupBy("doc_id", *also).agg(F.collect_list("text").alias("_texts"))  # one, where ids are unique
+    words = F.transform("_texts", tokens)
+    terms = F.sort_array(F.flatten(F.transform(words, lambda w: F.concat(w, bigrams(w)))))
+    counted = texts.select("doc_id", *also, terms.alias("_t"))
+    places = F.sequence(F.lit(1), F.size("_t"))
+    ends = F.filter(places, lambda i: ~F.get("_t", i - 1).eqNullSafe(F.get("_t", i)))
+    counted = counted.select("doc_id", *also, "_t", F.when(F.size("_t") > 0, ends).alias("_ends"))
+    start = lambda i: F.when(i > 0, F.get("_ends", i - 1)).otherwise(0)
+    pairs = F.transform("_ends", lambda end, i: F.struct(F.get("_t", end - 1).alias("term"), (end - start(i)).cast("long").alias("tf")))
+    return counted.select("doc_id", *also, F.inline_outer(pairs)).filter("term is not null")
 
 
 def vocabulary_of(counts: DataFrame, n: int, min_df: int = 2, max_features: int | None = None) -> DataFrame:
