@@ -38,3 +38,16 @@ def test_tasks_grow_with_the_text(spark):
     assert terms.tasks(docs) == terms.tasks(docs.limit(0)) == least
     long = spark.range(9).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), terms.TASK_BYTES // 5).alias("text"))
     assert terms.tasks(long) == max(least, 9)
+
+
+def test_weights_need_no_vocabulary_table(spark):
+    """Weights equal those under a fitted vocabulary; counts are sent to their terms once and back once."""
+    docs = spark.createDataFrame([r for r in ROWS if r[0] != 2], "doc_id int, text string")
+    vocabulary = terms.fit_vocabulary(docs)
+    for sublinear in (False, True):
+        want = {(r["doc_id"], r["term"]): r["w"] for r in terms.tfidf(docs, vocabulary, sublinear).collect()}
+        made = terms.own_tfidf(docs, sublinear)
+        got = {(r["doc_id"], r["term"]): r["w"] for r in made.collect()}
+        assert want and got.keys() == want.keys() and all(abs(got[k] - w) < 1e-12 for k, w in want.items())
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and len(re.findall(r"Exchange hashpartitioning\(term", plan)) == 1
