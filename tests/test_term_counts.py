@@ -6,6 +6,7 @@ from math import log, sqrt
 
 from pyspark.sql import functions as F
 
+from tidelog.operators import complement_bayes as CB
 from tidelog.operators import terms
 
 ROWS = [(1, "a bb cc bb cc"), (2, "Bb cc, dd"), (2, "dd cc"), (3, None), (4, ""), (None, "cc dd"), (5, "x y"), (6, "dd dd dd dd")]
@@ -49,5 +50,25 @@ def test_weights_need_no_vocabulary_table(spark):
         made = terms.own_tfidf(docs, sublinear)
         got = {(r["doc_id"], r["term"]): r["w"] for r in made.collect()}
         assert want and got.keys() == want.keys() and all(abs(got[k] - w) < 1e-12 for k, w in want.items())
-        plan = made._jdf.queryExecution().executedPlan().toString()
-        assert "Join" not in plan and len(re.findall(r"Exchange hashpartitioning\(term", plan)) == 1
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and len(re.findall(r"RepartitionByExpression \[term", plan)) == 1
+
+
+def test_bayes_scores_without_a_table_of_weighted_terms(spark):
+    """Model and scores equal those of ``fit``; terms are sent by term once; one document has two labels, some have none."""
+    texts = ["bb cc bb cc dd", "cc dd ee", None, "", "ee ff ee", "dd ff gg", "gg bb unknown", "zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    labels = spark.createDataFrame([(0, "p"), (1, "q"), (2, "q"), (4, "p"), (5, "q"), (5, "p")], "doc_id int, label string")
+    train = docs.join(labels, "doc_id", "left_semi")
+    vocabulary = terms.fit_vocabulary(train)
+    fitted = CB.fit(terms.tfidf(train, vocabulary), labels, vocabulary, ["p", "q"])
+    want = {r["term"]: r["scores"] for r in fitted.collect()}
+    got = {r["term"]: r["scores"] for r in CB.own_model(docs, labels, ["p", "q"]).collect()}
+    assert want and got.keys() == want.keys() and all(abs(a - b) < 1e-12 for t in want for a, b in zip(got[t], want[t]))
+    want = {r["doc_id"]: r["scores"] for r in CB.decision_scores(terms.tfidf(docs, vocabulary), fitted, 2).collect()}
+    made = CB.own_scores(docs, labels, ["p", "q"]).collect()
+    assert {r["doc_id"] for r in made} == want.keys() and all(abs(a - b) < 1e-12 for r in made for a, b in zip(r["scores"], want[r["doc_id"]]))
+    placed = CB.own_terms(docs, labels, ["p", "q"])
+    placed.collect()
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join .*term", plan)
