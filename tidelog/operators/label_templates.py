@@ -32,7 +32,10 @@ def label_events(events: DataFrame, second: bool = True, label_on: str = "templa
 
     ``label_on="raw"`` labels the text before the second pass hides login and logout.
     """
-    return _with_label(events.filter(_has_text(F.col("template"))), second, label_on)
+    # Spark moves no filter below a generator: as a plain one it would run the rewrite chain a second time, and before any
+    # repartition of the events.
+    whole = events.select(F.inline_outer(F.array(F.struct(*[F.col(f"`{c}`") for c in events.columns]))))
+    return _with_label(whole.filter(_has_text(F.col("template"))), second, label_on)
 
 
 def template_counts(events: DataFrame, second: bool = True, label_on: str = "template") -> DataFrame:

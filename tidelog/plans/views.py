@@ -8,7 +8,7 @@ matching text.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.session import spread
+from tidelog.session import ROWS_A_TASK, spread
 
 HOST_PATTERN = r"\bnode-\d+-\d+(\.infra\.example\.com)?\b"
 
@@ -93,11 +93,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, ts, platform, source, message, user_id, event_type_raw, value: one row per event."""
-    return spread(_events(spark, sf_dir)).selectExpr(*_text(LOG_COLUMNS, "string"))
+    return spread(_events(spark, sf_dir), ROWS_A_TASK).selectExpr(*_text(LOG_COLUMNS, "string"))
 
 
 def varied_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_events(spark, sf_dir)).selectExpr(*_text(VARIED_COLUMNS, "string"))
+    return spread(_events(spark, sf_dir), ROWS_A_TASK).selectExpr(*_text(VARIED_COLUMNS, "string"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
