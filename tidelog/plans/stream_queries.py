@@ -11,7 +11,7 @@ from tidelog.plans import oracle_text as Q
 from tidelog.plans import views
 from tidelog.plans.label_queries import TEMPLATES, templates
 from tidelog.plans.registry import register
-from tidelog.session import fresh_path
+from tidelog.session import fresh_path, materialize
 from tidelog.sources import events as E
 from tidelog.sources import labels as LA
 from tidelog.sources import sinks
@@ -248,11 +248,14 @@ def _per_class(form, between=", "):
 def _model_scores(spark, sf_dir):
     """Overlapping pulls scored by a Bayes model fitted on the labeled templates before the stream starts."""
     trained = templates(spark, sf_dir).filter(F.col("label").isin(_MODEL_CLASSES)).select(F.col("template").alias("doc_id"), F.col("template").alias("text"), "label")
+    trained = materialize(trained, "trained")  # the fit reads it seven times
     vocabulary = T.fit_vocabulary(trained.select("doc_id", "text"))
     model = CB.fit(T.tfidf(trained.select("doc_id", "text"), vocabulary), trained, vocabulary, _MODEL_CLASSES)
 
     def score(batch):
         templated = batch.withColumn("template", second_pass(template_of(F.col("message"), views.HOST_PATTERN)))
+        # Stored: scoring counts the templates, asks which are null and joins them back, and would rewrite each message anew.
+        templated = materialize(templated, "templated")
         return CB.score_events(templated, vocabulary, model, _MODEL_CLASSES, threshold=0.8)
 
     rows = _event_table(spark, sf_dir).drop("predicted_label")
