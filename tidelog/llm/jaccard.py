@@ -14,6 +14,9 @@ Exact, in four steps, none of which writes a row per pair of a group:
    ``FEW`` documents still lie in several components, up to ``rounds`` rounds may go on with leaders of ``DRAWS`` random orders,
    one comparison per member and order, until one brings no link: members that miss one leader by a little meet another. They
    spare comparisons of pairs in very large groups and cost passes over all prefixes elsewhere, so none is made by default.
+   In the same way, up to ``SIFTS`` passes over n-grams of many documents compare ``PICKS`` partners, drawn by hash, of each document
+   among those of other components that may be similar enough, until a pass brings no link: a large group of near copies is joined
+   by a number of comparisons in proportion to its members.
    Then all pairs of documents that are still in different components and share a prefix n-gram under every order are
    compared: the filters of the orders are intersected before the sets are read. N-grams of many documents go through
    cells of two blocks of them, which let only pairs out whose overlap can reach the threshold.
@@ -45,6 +48,8 @@ K, PERCENT = 5, 75
 ORDERS = 3
 # Leaders drawn anew in a round for n-grams of many documents; pairs that rounds leave are compared all the same.
 DRAWS = 4
+# Passes that compare drawn partners before all pairs, and partners drawn for a document in a cell.
+SIFTS, PICKS = 4, 4
 # Nodes of one n-gram up to which pairs are joined, and nodes in a block of a cell beyond.
 FEW, CELL, SHARES = 64, 1024, 256
 # Characters of a chunk of documents, and n-grams (of the half that is counted) that one bucket holds.
@@ -237,13 +242,15 @@ def _can_link(a: str, b: str, percent: int):
     return (100 * F.least(a, b)) >= percent * F.greatest(a, b)
 
 
-def _across(prefixes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _across(prefixes: DataFrame, known: DataFrame, percent: int, picks: int | None = None) -> DataFrame:
     """(a, b): pairs of different components that share a prefix n-gram under the first order and may be similar enough.
 
     The smaller of a pair is looked up by its short prefix. N-grams with few nodes are joined. Those with many would give
     pairs by the square, most of which miss the threshold by a little: they are taken together by the first node they have,
     as texts of one family share many of them, and the nodes of such a cluster are dealt to cells of two blocks. A cell gives
     only pairs whose overlap, bounded by what each has in 256 shares of all n-grams, can reach the threshold.
+
+    With ``picks``, only cells are made, and a cell gives that many pairs of each smaller document at most, drawn by hash.
     """
     plain = prefixes.join(known, "node")
     rows = plain.select("node", "n", "own", "component", F.explode("p0").alias("gram"))
@@ -278,13 +285,19 @@ def _across(prefixes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             (i, m, c), (j, n, d) = ([t[name].to_numpy() for name in ("node", "n", "component")] for t in (left, right))
             able = 100.0 * most >= percent * (m[:, None] + n[None] - most.astype(np.float64))
             able &= (c[:, None] != d[None]) & ((m[:, None] < n[None]) | ((m[:, None] == n[None]) & (i[:, None] < j[None])))
+            if picks is not None and picks < able.shape[1]:
+                drawn = words.mix(i.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) ^ j.astype(np.uint64)[None])
+                drawn[~able] = np.iinfo(np.uint64).max
+                kept = np.zeros_like(able)
+                np.put_along_axis(kept, np.argpartition(drawn, picks - 1, axis=1)[:, :picks], True, axis=1)
+                able &= kept
             u, v = np.nonzero(able)
             found = np.stack([i[u], j[v]], 1)
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
     keys = ("first", "_a", "_b")
     cells = dealt(members[0], "_a", "_b").groupBy(*keys).cogroup(dealt(members[1], "_b", "_a").groupBy(*keys)).applyInArrow(cell, "a bigint, b bigint")
-    return joined.union(cells).distinct()
+    return (cells if picks is not None else joined.union(cells)).distinct()
 
 
 def _counts(shares: bytes) -> np.ndarray:
@@ -330,6 +343,11 @@ def linked_groups(nodes: DataFrame, percent: int = PERCENT, rounds: int = 0) ->
         links, known = joined(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), links, known)
         if known is before:
             break
+    for _ in range(SIFTS):
+        before = known
+        links, known = joined(_across(prefixes, known, percent, PICKS), links, known)
+        if known is before:
+            break
     pairs = materialize(_across(prefixes, known, percent), "across")
     if pairs.isEmpty():
         return nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
