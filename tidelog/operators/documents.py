@@ -3,6 +3,7 @@
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -13,18 +14,25 @@ from tidelog.functions.html import page_links, page_text
 from tidelog.functions.text import strip
 from tidelog.operators.terms import tokens
 
+PAGES = 64
 _LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
 def extract_text(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep..., text) from a column ``html``."""
+    """(keep..., text) from a column ``html``.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A page at a time becomes a Python string, and texts are handed on every ``PAGES`` pages, not once for a whole batch."""
+    fields = [f for f in pages.schema if f.name in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[keep].assign(text=[page_text(h) for h in batch["html"]])
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                texts = pa.array([page_text(h.as_py()) for h in part.column(len(fields))], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], texts], names=[*[f.name for f in fields], "text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in keep)
-    return pages.select(*keep, "html").mapInPandas(run, f"{schema}, text string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return pages.select(*[f"`{f.name}`" for f in fields], "html").mapInArrow(run, f"{schema}, text string")
 
 
 def long_lines(text: Column, min_chars: int = V.MIN_LINE_CHARS) -> Column:
