@@ -14,8 +14,10 @@ from tidelog.functions.prompts import explain_prompt
 from tidelog.functions.text import cut, round_even
 from tidelog.session import materialize
 
-QUERY_BLOCK, VECTOR_PART = 1024, 8192
+QUERY_BLOCK, VECTOR_PART = 8192, 8192
 _QUERIES_AT_ONCE = 64
+# Scores that one maximum stands for when the best of many are looked for, and numbers gathered at once for exact products.
+_FOLDED, _GATHERED = 16, 1 << 22
 # Vectors that pivots are chosen from (the least hashes of ids), pivots at most, and the width of a ring in radians.
 PIVOT_SAMPLE, PIVOTS, RING = 4_096, 64, 0.05
 # What angles and cosines in floating point may be off by.
@@ -31,20 +33,55 @@ def _matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in vectors])
 
 
+def _near_best(scores: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every score that is less than ``slack`` below a lower bound of its row's ``k``-th best, or not below.
+
+    The bound is the k-th best of the maxima of folds of ``_FOLDED`` columns; of most folds nothing but the maximum is looked at."""
+    n, columns = scores.shape
+    width = columns // _FOLDED
+    if width < k:
+        row, column = np.divmod(np.arange(scores.size), columns)
+        return row, column
+    best = scores[:, : width * _FOLDED].reshape(n, _FOLDED, width).max(axis=1)
+    bound = np.partition(best, width - k, axis=1)[:, width - k] - slack
+    row, fold = np.divmod(np.flatnonzero(best >= bound[:, None]), width)
+    rest = np.arange(width * _FOLDED, columns)
+    row = np.concatenate([np.repeat(row, _FOLDED), np.repeat(np.arange(n), len(rest))])
+    column = np.concatenate([(fold[:, None] + width * np.arange(_FOLDED)).ravel(), np.tile(rest, n)])
+    kept = scores[row, column] >= bound[row]
+    return row[kept], column[kept]
+
+
+def _products(a: np.ndarray, b: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows; equal rows have equal ones."""
+    step = max(1, _GATHERED // max(1, a.shape[1]))
+    parts = [np.einsum("ij,ij->i", a[row[at : at + step]], b[column[at : at + step]]) for at in range(0, len(row), step)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
 def _best_of(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` best of ``held`` (id, vector) for each of ``asked`` (query_id, vector), slice by slice."""
+    """The ``k`` best of ``held`` (id, vector) for each of ``asked`` (query_id, vector), slice by slice, exact.
+
+    Products in single precision tell which pairs may be among the best; those are multiplied in double precision and put in
+    order. A sum of products of two unit vectors is off by (dimensions + 8) * 2**-24 at most in single precision."""
     if not len(asked) or not len(held):
         return pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "id": held["id"].iloc[:0], "score": np.zeros(0)})
-    unit_vectors, ids = _unit(_matrix(held["vector"])), held["id"].to_numpy()
+    vectors, ids = _unit(_matrix(held["vector"])), held["id"].to_numpy()
+    queries, names = _unit(_matrix(asked["vector"])), asked["query_id"].to_numpy()
+    finite = np.isfinite(vectors).all() and np.isfinite(queries).all()
+    vectors_32, queries_32 = vectors.astype(np.float32).T, queries.astype(np.float32)
+    slack = (vectors.shape[1] + 8) * 2.0**-23
     found = []
     for at in range(0, len(asked), _QUERIES_AT_ONCE):
-        some = asked.iloc[at : at + _QUERIES_AT_ONCE]
-        scores = _unit(_matrix(some["vector"])) @ unit_vectors.T
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-        n = order.shape[1]
-        found.append(
-            pd.DataFrame({"query_id": some["query_id"].repeat(n).to_numpy(), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-        )
+        scores = queries_32[at : at + _QUERIES_AT_ONCE] @ vectors_32
+        if not finite:
+            scores = np.where(np.isnan(scores), -np.inf, scores)
+        row, column = _near_best(scores, k, slack)
+        score = _products(queries, vectors, at + row, column)
+        order = np.lexsort((ids[column], -score, row))  # what is no number comes last
+        row, column, score = row[order], column[order], score[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append(pd.DataFrame({"query_id": names[at + row[kept]], "id": ids[column[kept]], "score": score[kept]}))
     return pd.concat(found)
 
 
