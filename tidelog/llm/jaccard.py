@@ -52,6 +52,8 @@ DRAWS = 4
 SIFTS, PICKS = 4, 4
 # Nodes of one n-gram up to which pairs are joined, and nodes in a block of a cell beyond.
 FEW, CELL, SHARES = 64, 1024, 256
+# Documents whose sets are held at once when only their digests are wanted.
+CLASS_ROWS = 500
 # Characters of a chunk of documents, and n-grams (of the half that is counted) that one bucket holds.
 CHUNK_CHARS = 4_000_000
 BUCKET_NGRAMS = 1_000_000
@@ -88,8 +90,11 @@ def classes(docs: DataFrame, k: int = K) -> DataFrame:
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sets(batch.column(1).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array(map(_class, found), pa.binary())], schema=kinds)
+            for at in range(0, batch.num_rows, CLASS_ROWS):
+                some = batch.slice(at, CLASS_ROWS)
+                found = sets(some.column(1).to_pylist(), k)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array(map(_class, found), pa.binary())], schema=kinds)
+                del found
 
     return _keyed(docs).mapInArrow(released(sized), "doc_id bigint, text_hash bigint, n bigint, cls binary")
 

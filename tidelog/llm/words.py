@@ -14,8 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-# Bytes hashed at once: bounds the arrays of a chunk (about 60 bytes for each).
-CHUNK_BYTES = 1_200_000
+# Bytes hashed at once: bounds the arrays of a chunk (about 60 bytes for each) and the powers that a worker keeps (32 for each).
+CHUNK_BYTES = 300_000
 # Bytes up to which a word's hash is the polynomial.
 LONG = 128
 _BASE = 0x9E3779B97F4A7C15 | 1
