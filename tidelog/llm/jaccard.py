@@ -20,7 +20,8 @@ Exact, in four steps, none of which writes a row per pair of a group:
    Then all pairs of documents that are still in different components and share a prefix n-gram under every order are
    compared: the filters of the orders are intersected before the sets are read. N-grams of many documents go through
    cells of two blocks of them, which let only pairs out whose overlap can reach the threshold.
-4. Components of the links found so far are those of all links, as pairs left out lie inside one component already.
+4. Components of the links found so far are those of all links, as pairs left out lie inside one component already. New links are
+   taken between components, so that no step walks the links of earlier ones again.
 
 N-gram hashes have 64 bits. The bucket's fingerprints are shorter: equal ones can only let a document through step 2.
 
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import words
@@ -48,7 +49,7 @@ K, PERCENT = 5, 75
 ORDERS = 3
 # Leaders drawn anew in a round for n-grams of many documents; pairs that rounds leave are compared all the same.
 DRAWS = 4
-# Passes that compare drawn partners before all pairs, and partners drawn for a document in a cell.
+# Passes that compare drawn partners before all pairs, and partners drawn for a document in a pass.
 SIFTS, PICKS = 4, 4
 # Nodes of one n-gram up to which pairs are joined, and nodes in a block of a cell beyond.
 FEW, CELL, SHARES = 64, 1024, 256
@@ -255,7 +256,7 @@ def _across(prefixes: DataFrame, known: DataFrame, percent: int, picks: int | No
     as texts of one family share many of them, and the nodes of such a cluster are dealt to cells of two blocks. A cell gives
     only pairs whose overlap, bounded by what each has in 256 shares of all n-grams, can reach the threshold.
 
-    With ``picks``, only cells are made, and a cell gives that many pairs of each smaller document at most, drawn by hash.
+    With ``picks``, only cells are made, and each smaller document gets that many pairs at most, drawn by hash.
     """
     plain = prefixes.join(known, "node")
     rows = plain.select("node", "n", "own", "component", F.explode("p0").alias("gram"))
@@ -302,7 +303,11 @@ def _across(prefixes: DataFrame, known: DataFrame, percent: int, picks: int | No
 
     keys = ("first", "_a", "_b")
     cells = dealt(members[0], "_a", "_b").groupBy(*keys).cogroup(dealt(members[1], "_b", "_a").groupBy(*keys)).applyInArrow(cell, "a bigint, b bigint")
-    return (cells if picks is not None else joined.union(cells)).distinct()
+    if picks is None:
+        return joined.union(cells).distinct()
+    # A document lies in a cell for each block and cluster: of what they gave, as many are drawn again.
+    drawn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
+    return cells.distinct().withColumn("drawn", drawn).filter(F.col("drawn") <= picks).drop("drawn")
 
 
 def _counts(shares: bytes) -> np.ndarray:
@@ -311,29 +316,33 @@ def _counts(shares: bytes) -> np.ndarray:
 
 def linked_groups(nodes: DataFrame, percent: int = PERCENT, rounds: int = 0) -> DataFrame:
     """(node, component) for ``nodes`` (node bigint, n, grams array<bigint>), stored and with distinct sets."""
-    spark = nodes.sparkSession
     prefixes = materialize(_prefixes(nodes, percent), "prefixes")
 
-    def joined(pairs: DataFrame, links: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links and components with those of ``pairs`` that are similar enough."""
+    def joined(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Components with those of ``pairs`` that are similar enough: only links from one component to another are followed,
+        each pair of components once, so links found before are not walked again."""
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            return links, known
+            return known
         more = materialize(_linked(pairs, nodes, percent), "links")
+        for side in "ab":
+            more = more.join(known.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side)
+        more = more.filter("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        more = materialize(more, "crossing")
         if more.isEmpty():
-            return links, known
-        links = links.union(more)
-        return links, materialize(components(prefixes.select("node"), links), "components")
+            return known
+        met = components(more.select(F.col("a").alias("node")).union(more.select("b")).distinct(), more)
+        met = materialize(met.select(F.col("node").alias("component"), F.col("component").alias("least")), "met")
+        return materialize(known.join(met, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "components")
 
     known = prefixes.select("node", F.col("node").alias("component"))
-    links = spark.createDataFrame([], "a bigint, b bigint")
     for k in range(ORDERS):
         rows = prefixes.select("node", "n", F.explode(f"p{k}").alias("gram")).join(known, "node")
         first = rows.groupBy("gram").agg(F.min(F.struct("node", "n", "component")).alias("lead"))
         near = rows.join(first, "gram").filter((F.col("component") != F.col("lead.component")) & _can_link("n", "lead.n", percent))
         leaders = near.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count("*").alias("shared"))
         pairs = leaders.groupBy("node").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
-        links, known = joined(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")), links, known)
+        known = joined(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")), known)
     for r in range(rounds):
         rows = prefixes.select("node", "n", F.explode(f"p{r % ORDERS}").alias("gram")).join(known, "node")
         drawn = [F.min(F.struct(F.xxhash64("node", F.lit(r * DRAWS + d)).alias("draw"), "node", "n", "component")).alias(f"d{d}") for d in range(DRAWS)]
@@ -345,12 +354,12 @@ def linked_groups(nodes: DataFrame, percent: int = PERCENT, rounds: int = 0) ->
         leaders = near.groupBy("node", "d", F.col("lead.node").alias("leader")).agg(F.count("*").alias("shared"))
         pairs = leaders.groupBy("node", "d").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
         before = known
-        links, known = joined(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), links, known)
+        known = joined(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), known)
         if known is before:
             break
     for _ in range(SIFTS):
         before = known
-        links, known = joined(_across(prefixes, known, percent, PICKS), links, known)
+        known = joined(_across(prefixes, known, percent, PICKS), known)
         if known is before:
             break
     pairs = materialize(_across(prefixes, known, percent), "across")
@@ -361,7 +370,7 @@ def linked_groups(nodes: DataFrame, percent: int = PERCENT, rounds: int = 0) ->
         pairs = pairs.join(prefixes.select(F.col("node").alias(side), *[F.col(p).alias(f"{p}{side}") for p in others]), side)
     for p in others:
         pairs = pairs.filter(F.arrays_overlap(f"{p}a", f"{p}b"))
-    _, known = joined(pairs.select("a", "b"), links, known)
+    known = joined(pairs.select("a", "b"), known)
     return nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
