@@ -185,11 +185,12 @@ def search_by_pivots(
     vectors. The angle between a query and any vector of a part is at least the distance of the query's own angle to the
     pivot from the part's angles, so the cosine is at most that angle's cosine. First, each query meets the parts with the
     best bounds that together hold ``k`` vectors; its k-th score is then a lower bound of the true one, and it meets
-    only those other parts whose bound reaches it. Where nothing can be ruled out, it meets all, and the result is the same.
+    only those parts whose bound reaches it. Where nothing can be ruled out, it meets all, and the result is the same.
 
-    Only ids of pairs (query, part) and numbers of parts are shuffled beside the vectors, which move once to their part; a
-    query's vector goes to the parts that it meets, in blocks of about ``block`` queries. Parts are described by five numbers
-    each, about as many as vectors / ``part``. Equal vectors share a bound: a query that is near them meets all of them. Null and empty vectors take no part; a vector of zeros
+    Neighbouring parts make up a bundle of about ``VECTOR_PART`` vectors: a query goes once to each bundle that holds parts it
+    meets, in blocks of about ``block`` queries, and gives k hits there, so rows grow with queries times bundles and not
+    with queries times parts. Inside, queries that meet half of a bundle or more are multiplied with all of it, others with
+    the parts that they meet. Parts are described by five numbers each, about as many as vectors / ``part``. Equal vectors share a bound: a query that is near them meets all of them. Null and empty vectors take no part; a vector of zeros
     has cosine 0 with everything.
     """
     spark = vectors.sparkSession
@@ -228,66 +229,85 @@ def search_by_pivots(
         best[~rows.any(axis=1)] = SLACK
         return best
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sent.value[2]
-        for batch in batches:
-            for a in range(0, batch.num_rows, _QUERIES_AT_ONCE):
-                some = batch.slice(a, _QUERIES_AT_ONCE)
-                order = np.argsort(-bounds(_matrix(some.column(1).to_pylist())), axis=1, kind="stable")
-                before = np.cumsum(n[order], axis=1) - n[order]
-                at, place = np.nonzero(before < k)
-                yield _pairs(some, at, order[at, place])
+    # Parts next to each other in order: a bundle is full once its parts before the last hold fewer than VECTOR_PART vectors.
+    bundle = (np.cumsum(n) - n) // max(VECTOR_PART, part)
+    bundle = np.unique(bundle, return_inverse=True)[1].reshape(-1)
+    starts = np.flatnonzero(np.diff(bundle, prepend=-1))
+    held_in = np.add.reduceat(n, starts)
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked_of(some: pa.RecordBatch) -> np.ndarray:
+        """Which parts each query must meet: those that reach its k-th score, and those it was given that score by."""
+        n = sent.value[2]
+        best = bounds(_matrix(some.column("vector").to_pylist()))
+        order = np.argsort(-best, axis=1, kind="stable")
+        met = np.zeros(best.shape, bool)
+        np.put_along_axis(met, order, np.cumsum(n[order], axis=1) - n[order] < k, axis=1)
+        if "reached" not in some.schema.names:
+            return met
+        reached = np.nan_to_num(some.column("reached").to_numpy(zero_copy_only=False).astype(float), nan=-2.0)
+        return met | (best >= reached[:, None])
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and bundle with parts it meets: which they are, and how many vectors it is multiplied with."""
         n = sent.value[2]
         for batch in batches:
             for a in range(0, batch.num_rows, _QUERIES_AT_ONCE):
                 some = batch.slice(a, _QUERIES_AT_ONCE)
-                best = bounds(_matrix(some.column(1).to_pylist()))
-                order = np.argsort(-best, axis=1, kind="stable")
-                reached = np.nan_to_num(some.column(2).to_numpy(zero_copy_only=False).astype(float), nan=-2.0)
-                asked = best >= reached[:, None]
-                met = np.cumsum(n[order], axis=1) - n[order] < k
-                rows = np.arange(len(order))[:, None]
-                asked[rows, order] &= ~met
-                yield _pairs(some, *np.nonzero(asked))
-
-    def _pairs(some: pa.RecordBatch, at: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
-        rows = some.select(["query_id", "vector"]).take(pa.array(at))
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(of, pa.int32())], names=["query_id", "vector", "part"])
+                asked = asked_of(some)
+                work = np.add.reduceat(asked * n, starts, axis=1)
+                whole = 2 * work >= held_in
+                at, of = np.nonzero(work)
+                ends = np.append(starts[1:], len(n))
+                which = [None if whole[i, j] else (starts[j] + np.flatnonzero(asked[i, starts[j] : ends[j]])).tolist() for i, j in zip(at, of)]
+                rows = some.select(["query_id", "vector"]).take(pa.array(at))
+                made = [pa.array(of, pa.int32()), pa.array(which, pa.list_(pa.int32())), pa.array(np.where(whole, held_in, work)[at, of], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=["query_id", "vector", "bundle", "parts", "work"])
 
     def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        return _best_of(asked, held, k)
+        if not len(asked) or not len(held):
+            return _best_of(asked, held, k)
+        found = []
+        every = asked["parts"].isna().to_numpy()
+        if every.any():
+            found.append(_best_of(asked[every], held, k))
+        if not every.all():
+            some = asked[~every].reset_index(drop=True)
+            lengths = some["parts"].map(len).to_numpy()
+            at, of = np.repeat(np.arange(len(some)), lengths), np.concatenate([np.asarray(p) for p in some["parts"]])
+            by_part = held.groupby("part").indices
+            for number in np.unique(of):
+                if number in by_part:
+                    found.append(_best_of(some.iloc[at[of == number]], held.iloc[by_part[number]], k))
+        hits = pd.concat(found)[["query_id", "id", "score"]]
+        return hits.sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable").groupby("query_id", sort=False).head(k)
 
     number = {key: i for i, key in enumerate(zip(parts["pivot"], parts["ring"], parts["slice"]))}
-    names = spark.createDataFrame([(int(a), int(b), int(c), i) for (a, b, c), i in number.items()], "pivot int, ring int, slice int, part int")
-    numbered = index.join(F.broadcast(names), ["pivot", "ring", "slice"]).select("part", "id", "vector")
-    pair_schema = f"query_id {query_type}, vector {queries.schema['vector'].dataType.simpleString()}, part int"
+    names = spark.createDataFrame([(int(a), int(b), int(c), i, int(bundle[i])) for (a, b, c), i in number.items()], "pivot int, ring int, slice int, part int, bundle int")
+    numbered = index.join(F.broadcast(names), ["pivot", "ring", "slice"]).select("bundle", "part", "id", "vector")
+    pair_schema = f"query_id {query_type}, vector {queries.schema['vector'].dataType.simpleString()}, bundle int, parts array<int>, work bigint"
 
     def met(pairs: DataFrame) -> DataFrame:
-        """The k best of each query within each part that it meets."""
-        many = pairs.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        left = pairs.join(F.broadcast(many), "part").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
-        right = numbered.join(F.broadcast(many), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        grouped = left.select("part", "block", "query_id", "vector").groupBy("part", "block")
-        return grouped.cogroup(right.select("part", "block", "id", "vector").groupBy("part", "block")).applyInPandas(compare, hit_schema)
-
-    sizes = spark.createDataFrame([(i, int(c)) for i, c in enumerate(n)], "part int, n bigint")
+        """The k best of each query within each bundle that it meets."""
+        many = pairs.groupBy("bundle").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        left = pairs.join(F.broadcast(many), "bundle").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+        right = numbered.join(F.broadcast(many), "bundle").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        grouped = left.select("bundle", "block", "query_id", "vector", "parts").groupBy("bundle", "block")
+        return grouped.cogroup(right.select("bundle", "block", "part", "id", "vector").groupBy("bundle", "block")).applyInPandas(compare, hit_schema)
 
     def compared(pairs: DataFrame) -> int:
-        return pairs.join(F.broadcast(sizes), "part").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return pairs.agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0]
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
 
     def best(hits: DataFrame) -> DataFrame:
         return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
-    one = materialize(queries.mapInArrow(first, pair_schema), "first-pairs")
+    # The first meeting only tells how good a hit must be; the second finds all, so no hit is there twice.
+    one = materialize(queries.mapInArrow(meetings, pair_schema), "first-pairs")
     early = materialize(met(one), "first-hits")
     reached = best(early).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
-    two = materialize(queries.join(reached, "query_id", "left").select("query_id", "vector", "reached").mapInArrow(rest, pair_schema), "other-pairs")
-    hits = best(early.unionByName(met(two)))
-    return PrunedSearch(hits, queries.count() * int(n.sum()), compared(one) + compared(two))
+    two = materialize(queries.join(reached, "query_id", "left").select("query_id", "vector", "reached").mapInArrow(meetings, pair_schema), "pairs")
+    return PrunedSearch(best(met(two)), queries.count() * int(n.sum()), compared(two))
 
 
 def with_payload(hits: DataFrame, passages: DataFrame) -> DataFrame:
