@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.joins import BROADCAST_BYTES
-from tidelog.session import fresh_path, materialize
+from tidelog.session import dropped, fresh_path, materialize
 
 FEATURE_BLOCK, ROW_BLOCK = 16_384, 4_096
 # Entries of a band (a feature is never divided), and bytes of factors that are sent to all tasks.
@@ -291,6 +291,8 @@ def fit(
         return spark.read.schema(kind).parquet(paths[turn % 2])
 
     state = moved(0, 0.0, None)
+    if bands is not None:
+        dropped(cells)
     value, first = cost * losses(np.zeros(1)).sum(), None
     for turn in range(1, max_iter + 1 if total else 1):
         gram = products()
